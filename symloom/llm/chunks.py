@@ -115,6 +115,13 @@ def count_again(packed: DataFrame) -> DataFrame:
     return packed.groupBy("part").applyInArrow(_judge, FLAGGED)
 
 
+def by_chunk(rows: DataFrame, chunks: int):
+    """rows grouped by chunk over a set number of tasks: a few bytes name a whole chunk's work, so tasks must not be
+    joined by the size of the rows."""
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(least, chunks // 4), "chunk").groupBy("chunk")
+
+
 def flags_of(rows: list[tuple[int, bytes, bytes]], ids: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """The flags of count_again() for each id that went into pack(). rows: part, again, first of the chunk."""
     distinct, place = np.unique(ids, return_inverse=True)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from symloom.llm import arrays as A
-from symloom.llm.chunks import PACKED, Store, count_again, deal, flags_of, pack
+from symloom.llm.chunks import PACKED, Store, by_chunk, count_again, deal, flags_of, pack
 from symloom.llm.common import materialize, new_path, ship, table
 
 LENGTH, GRAM, SEGMENT = 400, 128, 1 << 18
@@ -162,7 +162,8 @@ def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     scanned = materialize(slim.mapInArrow(scan, PACKED), "suffix-texts")
     chunks = scanned.where("part = -1").select(F.lit(0).alias("level"), "chunk", "part", F.lit(None).cast("binary").alias("again"), F.lit(None).cast("binary").alias("first"))
-    parts = 64 * max(1, chunks.count() // 64)  # chunks are of about CHUNK_BYTES, so parts grow with the bytes
+    n = chunks.count()
+    parts = 64 * max(1, n // 64)  # chunks are of about CHUNK_BYTES, so parts grow with the bytes
 
     def leveled(flags: DataFrame, level: int) -> DataFrame:
         return flags.select(F.lit(level).alias("level"), "chunk", "part", "again", "first")
@@ -224,10 +225,10 @@ def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     flags = chunks.unionByName(leveled(count_again(scanned.where("part >= 0")), 1))
     flags = materialize(flags, "suffix-flags1")
-    second = leveled(count_again(flags.groupBy("chunk").applyInArrow(grams, PACKED)), 2)
+    second = leveled(count_again(by_chunk(flags, n).applyInArrow(grams, PACKED)), 2)
     flags = materialize(flags.unionByName(second), "suffix-flags2")
-    third = leveled(count_again(flags.groupBy("chunk").applyInArrow(whole, PACKED)), 3)
-    return materialize(flags.unionByName(third), "suffix-flags3").groupBy("chunk").applyInArrow(result, RESULT)
+    third = leveled(count_again(by_chunk(flags, n).applyInArrow(whole, PACKED)), 3)
+    return by_chunk(materialize(flags.unionByName(third), "suffix-flags3"), n).applyInArrow(result, RESULT)
 
 
 def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:
