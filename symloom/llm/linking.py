@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from symloom.llm.chunks import by_chunk
 from symloom.llm.common import materialize
 
 BLOCK = 400
@@ -113,7 +114,8 @@ def _block(rows: dict, at: np.ndarray, linked) -> list[tuple[int, int]]:
 
 def _verified(requests: DataFrame, load: Callable, linked: Callable, work: Callable) -> DataFrame:
     """Runs work on the sets of each task. requests: chunk, idx, task, pivot, uid, label."""
-    parts = 8 * int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = 8 * least
 
     def fetch(rows: pa.Table) -> pa.Table:
         where, back = np.unique(rows["idx"].to_numpy(), return_inverse=True)
@@ -133,7 +135,7 @@ def _verified(requests: DataFrame, load: Callable, linked: Callable, work: Calla
         links = [x for at in np.split(order, cut) for x in work(rows, at, linked)]
         return pa.table([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return requests.groupBy("chunk").applyInArrow(fetch, SETS).groupBy("part").applyInArrow(verify, LINKS)
+    return by_chunk(requests, 4 * least).applyInArrow(fetch, SETS).groupBy("part").applyInArrow(verify, LINKS)
 
 
 def components(items: DataFrame, load: Callable, linked: Callable, likely: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:

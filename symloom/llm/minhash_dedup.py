@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
 from symloom.llm import arrays as A
-from symloom.llm.chunks import Store, deal
+from symloom.llm.chunks import Store, by_chunk, deal
 from symloom.llm.common import materialize, new_path, ship, table
 from symloom.llm.linking import components
 
@@ -194,7 +194,7 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         idx = np.sort(rows["idx"].to_numpy())
         return Store(uri).table(rows["chunk"][0].as_py()).take(pa.array(idx))
 
-    return kept.groupBy("chunk").applyInArrow(read, inner.schema).toDF(*docs.columns)
+    return by_chunk(kept, 0).applyInArrow(read, inner.schema).toDF(*docs.columns)
 
 
 ORACLE = """
