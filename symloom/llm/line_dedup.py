@@ -111,7 +111,8 @@ def index(docs: DataFrame, batches: int = BATCHES) -> tuple[LineRuns, DataFrame]
 def flags(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
     """t1, t2, bad: the keys found in at least min_docs documents, for each distinct text that has some."""
     runs, rows = index(docs, batches)
-    often = runs.counts().where(F.col("n_docs") >= min_docs).select(*KEY)
+    # A written table, so that a very frequent key on the other side can be split among tasks.
+    often = materialize(runs.counts().where(F.col("n_docs") >= min_docs).select(*KEY), "line-often")
     return rows.join(often, KEY).groupBy("t1", "t2").agg(F.collect_list(F.struct(*KEY)).alias("bad"))
 
 
