@@ -156,6 +156,7 @@ def components(items: DataFrame, load: Callable, linked: Callable, likely: Calla
     if likely:
         pairs = materialize(likely(pairs), "link-likely")
     count = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    count = materialize(count, "link-counts")  # a written table: the rows of a hot pivot can be split among tasks
     pairs = pairs.join(count, "pivot").withColumn("task", F.xxhash64("pivot", F.pmod(F.xxhash64("uid"), F.col("blocks"))))
     wanted = pairs.select("uid", "task", F.lit(False).alias("pivot")).unionByName(pairs.select(F.col("pivot").alias("uid"), "task", F.lit(True).alias("pivot")).distinct())
     requests = wanted.join(place, "uid").select("chunk", "idx", "task", "pivot", "uid", F.lit(0).cast("long").alias("label"))
