@@ -120,7 +120,8 @@ def drop_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, ba
     """docs with further columns: lines (all), kept (those that stay)."""
     t = text_of(text)
     t1, t2, bad = (fresh_name(docs, x) for x in ("t1", "t2", "bad"))
-    found = flags(docs.select(F.col(text).alias("text")), min_docs, batches).toDF(t1, t2, bad)
+    # Written, so that the rows of a text with very many copies can be split among tasks.
+    found = materialize(flags(docs.select(F.col(text).alias("text")), min_docs, batches), "line-flags").toDF(t1, t2, bad)
     both = docs.withColumns({t1: long_hash(t, 3), t2: long_hash(t, 4)}).join(found, [t1, t2], "left")
     split = split_lines(t)
     stay = F.filter(split, lambda x: ~F.array_contains(F.col(bad), key_hash(line_key(x))))
