@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from symloom.llm.chunks import by_chunk
 from symloom.llm.common import materialize
 
-BLOCK = 400
+BLOCK, STAR_BLOCK = 400, 100
 SETS = "part int, task long, pivot boolean, uid long, label long, ids binary"
 LINKS = "a long, b long"
 
@@ -155,7 +155,7 @@ def components(items: DataFrame, load: Callable, linked: Callable, likely: Calla
     pairs = materialize(pairs, "link-pairs")
     if likely:
         pairs = materialize(likely(pairs), "link-likely")
-    count = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    count = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / STAR_BLOCK).cast("int").alias("blocks"))
     count = materialize(count, "link-counts")  # a written table: the rows of a hot pivot can be split among tasks
     pairs = pairs.join(count, "pivot").withColumn("task", F.xxhash64("pivot", F.pmod(F.xxhash64("uid"), F.col("blocks"))))
     wanted = pairs.select("uid", "task", F.lit(False).alias("pivot")).unionByName(pairs.select(F.col("pivot").alias("uid"), "task", F.lit(True).alias("pivot")).distinct())
