@@ -2,7 +2,7 @@
 between the two compressed sizes, normalised by the text's size, becomes a calibrated score.
 
 The model is fitted on a bounded, documented sample: at most FIT_ROWS labelled rows of either class, those of the
-smallest hash of text, each by at most FIT_BYTES bytes. The curve (logistic, over the difference, the compressed share and
+smallest hash of doc_id, each by at most FIT_BYTES bytes. The curve (logistic, over the difference, the compressed share and
 their products) is fitted crosswise: either half is scored by dictionaries of the other, so that no text meets a dictionary
 that holds it. The dictionaries that are used then come from all of the sample. Scoring reads whole texts, in blocks, so that very long texts need no more memory.
 
@@ -111,12 +111,18 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Fits on the labelled rows that are not held out. docs: doc_id, text; labels: doc_id, quality."""
     marked = labels.where(F.col("quality").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    both = docs.select("doc_id", "text").where(F.length("text") > 0).join(marked, "doc_id")
-    rank = long_hash(F.col("text"), 11)
-    sample = both.select("quality", F.substring(F.encode("text", "UTF-8"), 1, FIT_BYTES).alias("text"), rank.alias("rank"))
-    sides = [[r.text for r in sample.where(F.col("quality") == k).orderBy("rank").limit(FIT_ROWS).select("text").collect()] for k in (1, 0)]
+    # The sample is drawn by id, so that of the texts only those of at most 2 * FIT_ROWS ids move.
+    rank = long_hash(F.col("doc_id"), 11)
+    there = marked.join(docs.select("doc_id"), "doc_id", "left_semi").withColumn("rank", rank)
+    drawn = [there.where(F.col("quality") == k).orderBy("rank").limit(FIT_ROWS) for k in (1, 0)]
+    drawn = drawn[0].unionByName(drawn[1])
+    part = F.substring(F.encode("text", "UTF-8"), 1, FIT_BYTES)
+    sample = docs.select("doc_id", part.alias("text")).where(F.length("text") > 0).join(F.broadcast(drawn), "doc_id")
+    sample = sample.groupBy("doc_id", "quality", "rank").agg(F.min("text").alias("text")).collect()
+    sample.sort(key=lambda r: (r["rank"], r.doc_id))
+    sides = [[bytes(r.text) for r in sample if r.quality == k] for k in (1, 0)]
     shares = {r.quality: r["count"] for r in marked.groupBy("quality").count().collect()}
-    model = fit_model(*map(lambda side: list(map(bytes, side)), sides))
+    model = fit_model(*sides)
     if shares:
         model.prior = shares.get(1, 0) / sum(shares.values())
         if model.weights:  # the sample holds as many of either class as there are: shift the curve to the true shares
