@@ -1,7 +1,11 @@
-"""Session construction used by tests and the benchmark."""
+"""Session construction used by tests and the benchmark, and the shipping of this package to executors."""
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import SparkSession
 
 
@@ -20,3 +24,23 @@ def local_session(cpus: int | str = "*", name: str = "symloom", memory: str = "8
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors once per application, so that Python tasks can import it anywhere."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    top = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="symloom-code-"), "symloom_code.zip")
+    with zipfile.ZipFile(out, "w") as z:
+        for folder, _, names in os.walk(top):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(top)))
+    spark.sparkContext.addPyFile(out)
+    _shipped.add(app)
