@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from symloom.llm.chunks import by_chunk
 from symloom.llm.common import materialize
 
-BLOCK, STAR_BLOCK = 400, 100
+BLOCK, STAR_BLOCK = 200, 100
 SETS = "part int, task long, pivot boolean, uid long, label long, ids binary"
 LINKS = "a long, b long"
 
