@@ -130,7 +130,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
     the one of its group that stays. Links: 100 * intersection >= percent * union."""
     spark = docs.sparkSession
     ship(spark)
-    uri = uri or new_path(spark, "minhash-chunks")
+    if uri is None:  # else the chunks hold all columns, for a caller that reads them again
+        uri, docs = new_path(spark, "minhash-chunks"), docs.select(doc_id, text)
     sketched = sketches(docs, words, uri, text, doc_id, sketch or registers_and_keys)
     real = sketched.where("n > 0")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("m")
