@@ -5,11 +5,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from symloom.functions.numeric import rice_length, rice_parameter
 
-BY_POS = W.partitionBy("seq").orderBy("pos")
+
+def by_pos() -> WindowSpec:
+    return W.partitionBy("seq").orderBy("pos")
 
 
 def first_seen(tokens: DataFrame) -> DataFrame:
@@ -57,7 +60,7 @@ def vocabulary_rice(ids: DataFrame) -> DataFrame:
 
 def pairs(tokens: DataFrame) -> DataFrame:
     """seq, pos, l, r for each adjacent pair; overlapping pairs count."""
-    return tokens.select("seq", "pos", F.col("tok").alias("l"), F.lead("tok").over(BY_POS).alias("r")).where("r IS NOT NULL")
+    return tokens.select("seq", "pos", F.col("tok").alias("l"), F.lead("tok").over(by_pos()).alias("r")).where("r IS NOT NULL")
 
 
 def pair_counts(tokens: DataFrame) -> DataFrame:
@@ -74,15 +77,15 @@ def merge_once(tokens: DataFrame, chosen: DataFrame) -> DataFrame:
     """Replaces the chosen pair of each sequence, leftmost first and not overlapping, by l + U+0001 + r, and renumbers.
     In a run of equal symbols every second one begins a pair."""
     rows = tokens.join(chosen.select("seq", "l", "r"), "seq", "left")
-    hit = (F.col("tok") == F.col("l")) & (F.lead("tok").over(BY_POS) == F.col("r"))
+    hit = (F.col("tok") == F.col("l")) & (F.lead("tok").over(by_pos()) == F.col("r"))
     rows = rows.withColumn("hit", F.coalesce(hit, F.lit(False)))
-    new_run = F.when(F.col("hit") & F.coalesce(F.lag("hit").over(BY_POS), F.lit(False)) & (F.col("l") == F.col("r")), 0).otherwise(1)
-    rows = rows.withColumn("new", new_run).withColumn("run", F.sum("new").over(BY_POS))
+    new_run = F.when(F.col("hit") & F.coalesce(F.lag("hit").over(by_pos()), F.lit(False)) & (F.col("l") == F.col("r")), 0).otherwise(1)
+    rows = rows.withColumn("new", new_run).withColumn("run", F.sum("new").over(by_pos()))
     place = F.row_number().over(W.partitionBy("seq", "run").orderBy("pos")) - 1
     rows = rows.withColumn("start", F.col("hit") & (place % 2 == 0))
-    rows = rows.withColumn("gone", F.coalesce(F.lag("start").over(BY_POS), F.lit(False))).where(~F.col("gone"))
+    rows = rows.withColumn("gone", F.coalesce(F.lag("start").over(by_pos()), F.lit(False))).where(~F.col("gone"))
     tok = F.when(F.col("start"), F.concat("l", F.lit("\x01"), "r")).otherwise(F.col("tok"))
-    return rows.select("seq", (F.row_number().over(BY_POS) - 1).alias("pos"), tok.alias("tok"))
+    return rows.select("seq", (F.row_number().over(by_pos()) - 1).alias("pos"), tok.alias("tok"))
 
 
 def learn_merges(tokens: DataFrame, rounds: int, min_freq: int, cut) -> DataFrame:

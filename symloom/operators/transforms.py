@@ -11,29 +11,32 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from symloom.session import ship
 
-SEQ = W.partitionBy("seq")
+
+def seq() -> WindowSpec:
+    return W.partitionBy("seq")
 
 
 def reverse(tokens: DataFrame) -> DataFrame:
-    return tokens.select("seq", (F.count(F.lit(1)).over(SEQ) - 1 - F.col("pos")).alias("pos"), "tok")
+    return tokens.select("seq", (F.count(F.lit(1)).over(seq()) - 1 - F.col("pos")).alias("pos"), "tok")
 
 
 def rotation_ranks(tokens: DataFrame, cut: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """seq, pos, tok, n, rank (from 0): the place of the rotation that begins at pos. Prefix doubling: the rank of 2h
     symbols comes from the ranks of h symbols at pos and at pos + h; rounds end once every rank is single or h covers the
     longest sequence. cut(df, label) writes and rereads a round."""
-    rows = tokens.select("seq", "pos", "tok", F.count(F.lit(1)).over(SEQ).alias("n"), F.dense_rank().over(SEQ.orderBy("tok")).alias("rank"))
+    rows = tokens.select("seq", "pos", "tok", F.count(F.lit(1)).over(seq()).alias("n"), F.dense_rank().over(seq().orderBy("tok")).alias("rank"))
     rows, h = cut(rows, "rank0"), 1
     while not rows.groupBy("seq", "rank").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n")).where((F.col("c") > 1) & (F.col("n") > h)).isEmpty():
         later = rows.select("seq", F.pmod(F.col("pos") - h, F.col("n")).alias("pos"), F.col("rank").alias("next"))
         both = rows.join(later, ["seq", "pos"])
-        rows = cut(both.select("seq", "pos", "tok", "n", F.dense_rank().over(SEQ.orderBy("rank", "next")).alias("rank")), f"rank{h}")
+        rows = cut(both.select("seq", "pos", "tok", "n", F.dense_rank().over(seq().orderBy("rank", "next")).alias("rank")), f"rank{h}")
         h *= 2
-    return rows.withColumn("rank", (F.row_number().over(SEQ.orderBy("rank", "pos")) - 1).cast("long"))
+    return rows.withColumn("rank", (F.row_number().over(seq().orderBy("rank", "pos")) - 1).cast("long"))
 
 
 def bwt(tokens: DataFrame, cut: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
@@ -41,13 +44,13 @@ def bwt(tokens: DataFrame, cut: Callable[[DataFrame, str], DataFrame]) -> DataFr
     ranked = cut(rotation_ranks(tokens, cut), "ranks")
     before = ranked.select("seq", F.pmod(F.col("pos") + 1, F.col("n")).alias("pos"), F.col("tok").alias("before"))
     rows = ranked.select("seq", "pos", "rank").join(before, ["seq", "pos"])
-    primary = F.max(F.when(F.col("pos") == 0, F.col("rank"))).over(SEQ)
+    primary = F.max(F.when(F.col("pos") == 0, F.col("rank"))).over(seq())
     return rows.select("seq", F.col("rank").alias("pos"), F.col("before").alias("tok"), primary.alias("primary"))
 
 
 def lf_map(last: DataFrame) -> DataFrame:
     """last with lf, the row of the rotation one symbol earlier: symbols smaller than tok, plus equal ones before."""
-    return last.withColumn("lf", (F.row_number().over(SEQ.orderBy("tok", "pos")) - 1).cast("long"))
+    return last.withColumn("lf", (F.row_number().over(seq().orderBy("tok", "pos")) - 1).cast("long"))
 
 
 def bwt_inverse(last: DataFrame) -> DataFrame:
