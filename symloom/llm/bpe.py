@@ -30,7 +30,7 @@ from pyspark.sql.pandas.functions import arrow_udf
 
 from symloom.llm.common import ship, table
 
-CACHE_WORDS, LONG_WORD = 250_000, 200
+CACHE_WORDS, CACHE_PAIRS, LONG_WORD = 400_000, 2_000_000, 200
 _spaces = regex.compile(r"\s+")
 _loaded: dict[str, "WordBpe"] = {}
 
@@ -89,6 +89,7 @@ class WordBpe:
         self.pairs: dict[int, bool] = {}
         self.pair_keys, self.pair_fits = np.zeros(0, np.int64), np.zeros(0, bool)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _trie(self, own: dict[int, list[int]]) -> None:
         """Edges node * 512 + symbol -> node, sorted for searchsorted, and the token at each node (-1: none)."""
@@ -142,6 +143,9 @@ class WordBpe:
         keys, where = np.unique(left << 17 | right, return_inverse=True)
         at = np.minimum(np.searchsorted(self.pair_keys, keys), max(len(self.pair_keys) - 1, 0))
         lacking = keys[self.pair_keys[at] != keys] if len(self.pair_keys) else keys
+        if len(self.pairs) > CACHE_PAIRS:
+            self.pairs.clear()
+            self.pair_keys, self.pair_fits, lacking = np.zeros(0, np.int64), np.zeros(0, bool), keys
         if len(lacking):
             found = np.array([self.fits(k >> 17, k & 0x1FFFF) for k in lacking.tolist()], bool)
             all_keys = np.concatenate([self.pair_keys, lacking])
@@ -252,12 +256,16 @@ class WordBpe:
                 split.append(self._spoken(t))
         special = {w: np.array([i], "<u4").tobytes() for w, i in self.special.items()}
         needed = set(chain.from_iterable(split)).difference(special)
-        new = [w for w in needed if w not in self.known]
-        if len(self.known) + len(new) > CACHE_WORDS:  # bounded memory: start again with what this call needs
-            self.known.clear()
-            new = list(needed)
+        if len(self.known) + len(needed) > CACHE_WORDS:  # bounded memory: words that come again outlive those that don't
+            self.older, self.known = self.known, {}
+        known, older, new = self.known, self.older, []
+        for w in needed:
+            if w not in known:
+                if w in older:
+                    known[w] = older[w]
+                else:
+                    new.append(w)
         self.learn(new)
-        known = self.known
         known.update(special)
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
