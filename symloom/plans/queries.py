@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from symloom.functions import numeric as N
-from symloom.operators import coding, contexts, dictionary, folds, mixing, neural, transforms
+from symloom.operators import coding, contexts, dictionary, folds, merging, mixing, neural, transforms
 from symloom.plans.storage import cut, new_path
 from symloom.sources import sequences as S
 from symloom.streaming import scoring
@@ -141,6 +141,37 @@ def merges_roundtrip(spark, d) -> DataFrame:
     return dictionary.expand_merges(dictionary.learn_merges(S.events(spark, d), 3, 2, cut))
 
 
+MERGES = f"""WITH t AS (SELECT seq, pos, ('0x' || tok)::BIGINT AS b FROM ({S.BYTES_SQL})),
+p AS (SELECT b AS l, lead(b) OVER (PARTITION BY seq ORDER BY pos) AS r FROM t), c AS (SELECT l, r, count(*) AS n FROM p WHERE r IS NOT NULL GROUP BY ALL),
+m AS (SELECT l, r, row_number() OVER (ORDER BY n DESC, l, r) - 1 AS rank FROM c ORDER BY n DESC, l, r LIMIT 64)"""
+
+
+def _byte_pairs(spark, d) -> DataFrame:
+    ids = S.text_bytes(spark, d).select("seq", "pos", F.conv("tok", 16, 10).cast("long").alias("tok"))
+    return dictionary.pairs(ids).groupBy("l", "r").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(MERGES + " SELECT l, r, rank + 256 AS m, rank FROM m")
+def merge_table(spark, d) -> DataFrame:
+    return merging.merge_table(merging.frequent_pairs(_byte_pairs(spark, d), 64))
+
+
+@query(MERGES + " SELECT coalesce(rank, -1) AS rank, sum(n)::BIGINT AS found FROM c LEFT JOIN m USING (l, r) GROUP BY 1")
+def merge_lookup(spark, d) -> DataFrame:
+    counts = cut(_byte_pairs(spark, d), "pairs")
+    found = merging.look_up(counts, merging.frequent_pairs(counts, 64))
+    return found.groupBy(F.coalesce("rank", F.lit(-1)).alias("rank")).agg(F.sum("n").alias("found"))
+
+
+@query("SELECT doc_id AS seq, octet_length(encode(text)) AS bytes, true AS same FROM documents")
+def merge_encode_roundtrip(spark, d) -> DataFrame:
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    coded = merging.encode(_data(spark, d).repartition(parts, "seq"), merging.frequent_pairs(_byte_pairs(spark, d), 64))
+    back = cut(coded, "merged").withColumnRenamed("data", "again")
+    both = _data(spark, d).join(back, "seq", "full_outer")
+    return both.select("seq", F.octet_length("data").cast("long").alias("bytes"), F.col("data").eqNullSafe(F.col("again")).alias("same"))
+
+
 # ---- contexts -----------------------------------------------------------------------------------------------------
 
 

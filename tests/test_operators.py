@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from symloom.operators import coding, contexts, dictionary, folds, mixing, neural, transforms
+from symloom.operators import coding, contexts, dictionary, folds, merging, mixing, neural, transforms
 from symloom.plans.queries import QUERIES
 from symloom.plans.storage import cut
 
@@ -177,3 +177,22 @@ def test_random_sequences_round_trip(spark):
     rows = [(s, i, random.choice("ab")) for s in range(20) for i in range(random.randint(1, 40))]
     df = spark.createDataFrame(rows, "seq long, pos long, tok string")
     assert lists(transforms.bwt_inverse(transforms.bwt(df, cut))) == lists(df)
+
+
+def plain_merges(data, ranks):
+    ids = list(data)
+    while True:
+        found = [(ranks[p][0], i) for i, p in enumerate(zip(ids, ids[1:])) if p in ranks]
+        if not found:
+            return ids
+        _, i = min(found)
+        ids[i : i + 2] = [ranks[ids[i], ids[i + 1]][1]]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.binary(max_size=60).map(lambda b: bytes(x % 3 + 97 for x in b)))
+def test_merging_order(data):
+    ranks = {(97, 97): (0, 256), (97, 98): (1, 257), (256, 256): (2, 258), (257, 99): (3, 259), (98, 258): (4, 260)}
+    ids = merging.encode_bytes(data, ranks)
+    assert ids == plain_merges(data, ranks)
+    assert b"".join(map(merging.expansions(ranks).__getitem__, ids)) == data
