@@ -156,14 +156,15 @@ def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             data, offsets = A.flat(rows["text"])
             kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(np.ascontiguousarray(offsets)), pa.py_buffer(np.ascontiguousarray(data))])
             Store(uri).put_table(name, pa.table([rows["doc_id"], kept], names=["doc_id", "text"]))
-            packed, _ = pack(name, _text_ids(data, offsets, length)[1], 64)
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([-1], pa.int32()), pa.array([b""], pa.binary()), pa.array([b""], pa.binary())], names=["chunk", "part", "ids", "many"])
-            yield packed
+            Store(uri).put_table(f"{name}.ids", pa.table([pa.array(x) for x in _text_ids(data, offsets, length)], names=["row", "id"]))
+            yield pa.RecordBatch.from_arrays([pa.array([name])], names=["chunk"])
 
-    scanned = materialize(slim.mapInArrow(scan, PACKED), "suffix-texts")
-    chunks = scanned.where("part = -1").select(F.lit(0).alias("level"), "chunk", "part", F.lit(None).cast("binary").alias("again"), F.lit(None).cast("binary").alias("first"))
+    chunks = materialize(slim.mapInArrow(scan, "chunk string"), "suffix-chunks")
+    nothing = F.lit(None).cast("binary")
+    chunks = chunks.select(F.lit(0).alias("level"), "chunk", F.lit(-1).alias("part"), nothing.alias("again"), nothing.alias("first"))
     n = chunks.count()
-    parts = 64 * max(1, n // 64)  # chunks are of about CHUNK_BYTES, so parts grow with the bytes
+    # Chunks are of about CHUNK_BYTES, so parts grow with the bytes.
+    parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), n)
 
     def leveled(flags: DataFrame, level: int) -> DataFrame:
         return flags.select(F.lit(level).alias("level"), "chunk", "part", "again", "first")
@@ -172,8 +173,9 @@ def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         name, flags = rows["chunk"][0].as_py(), _by_level(rows)
         held = Store(uri).table(name)
         data, offsets = A.flat(held["text"])
-        long, ids = _text_ids(data, offsets, length)
-        again, first = flags_of(flags[1], ids, 64)
+        own_ids = Store(uri).table(f"{name}.ids")
+        long, ids = (own_ids[c].to_numpy() for c in ("row", "id"))
+        again, first = flags_of(flags[1], ids, parts)
         copied, skip = np.zeros(len(held), bool), np.zeros(len(held), bool)
         copied[long] = again
         # The chunk that has a copy first keeps one of its own copies for the further levels.
@@ -183,6 +185,10 @@ def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         skip[long] = ~(first & own)
         return name, flags, held, data, offsets, copied, skip
 
+    def texts(rows: pa.Table) -> pa.Table:
+        name = rows["chunk"][0].as_py()
+        return pa.Table.from_batches([pack(name, Store(uri).table(f"{name}.ids")["id"].to_numpy(), parts)[0]])
+
     def grams(rows: pa.Table) -> pa.Table:
         name, _, _, data, offsets, _, skip = load(rows)
         froms, tos, ids = anchors(data, offsets, skip, length, gram)
@@ -223,7 +229,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         return pa.table([held["doc_id"], pa.array(np.diff(offsets)), pa.array(spans, kind), pa.array(digests, pa.string())], names=["doc_id", "n_bytes", "spans", "kept_sha256"])
 
-    flags = chunks.unionByName(leveled(count_again(scanned.where("part >= 0")), 1))
+    flags = chunks.unionByName(leveled(count_again(by_chunk(chunks, n).applyInArrow(texts, PACKED)), 1))
     flags = materialize(flags, "suffix-flags1")
     second = leveled(count_again(by_chunk(flags, n).applyInArrow(grams, PACKED)), 2)
     flags = materialize(flags.unionByName(second), "suffix-flags2")
