@@ -111,7 +111,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, skip: np.ndarray, length: int
     join = np.zeros(len(froms), bool)  # one anchor seen from both sides of a segment's end is one member
     join[1:] = where[1:] == where[:-1]
     head = np.flatnonzero(~join)
-    return froms[head], tos[np.append(head[1:], len(froms)) - 1], ids[head]
+    # Least identifiers are small ones: mixed once more, they are even over the parts that count them.
+    return froms[head], tos[np.append(head[1:], len(froms)) - 1], A.mix(ids[head])
 
 
 def window_ids(data: np.ndarray, froms: np.ndarray, tos: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
