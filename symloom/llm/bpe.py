@@ -30,7 +30,7 @@ from pyspark.sql.pandas.functions import arrow_udf
 
 from symloom.llm.common import ship, table
 
-CACHE_WORDS, CACHE_PAIRS, LONG_WORD = 400_000, 2_000_000, 200
+CACHE_WORDS, CACHE_PAIRS, LONG_WORD = 120_000, 250_000, 200
 _spaces = regex.compile(r"\s+")
 _loaded: dict[str, "WordBpe"] = {}
 
@@ -316,6 +316,27 @@ def bpe_text(ids: Column, path: str) -> Column:
     return decode(ids)
 
 
+def encode_rows(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, source, n_tokens, ids (binary) and decoded, the text of the ids, for each document. Rows leave in slices of
+    a few MB, so that a batch's ids and texts are never held together."""
+    ship(docs.sparkSession)
+
+    def work(rows):
+        bpe = tokenizer(path)
+        for batch in rows:
+            at = 0
+            for part in batches(batch.column(2).fill_null("").to_pylist()):
+                ids = bpe.encode(part)
+                said = pa.array([bpe.decode(x) for x in ids], pa.string())
+                head = batch.slice(at, len(part))
+                columns = [head.column(0), head.column(1), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), said]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "source", "n_tokens", "ids", "decoded"])
+                at += len(part)
+
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
+    return slim.mapInArrow(work, "doc_id long, source string, n_tokens long, ids binary, decoded string")
+
+
 def bpe_digest(text: Column, path: str) -> Column:
     """n_tokens, ids_sha256 and decoded_sha256 of each text: encoded, then decoded from the ids."""
     fields = [pa.field("n_tokens", pa.int64()), pa.field("ids_sha256", pa.string()), pa.field("decoded_sha256", pa.string())]
