@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from symloom.llm.bpe import bpe_ids, bpe_text, vocabulary
-from symloom.llm.common import materialize, ship, table
+from symloom.llm.bpe import encode_rows, vocabulary
+from symloom.llm.common import materialize, table
 from symloom.llm.line_dedup import without_lines
 from symloom.llm.minhash_dedup import keep_one
 from symloom.llm.mixing import mix
@@ -35,10 +34,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens, ids (binary, little-endian unsigned 32-bit) and decoded, the text of the ids."""
-    ship(spark)
-    path = vocabulary()
-    encoded = docs.select("doc_id", "source", bpe_ids(F.col("text"), path).alias("ids"))
-    return encoded.select("doc_id", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", bpe_text(F.col("ids"), path).alias("decoded"))
+    return encode_rows(docs, vocabulary())
 
 
 STAGES = [
