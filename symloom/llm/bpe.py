@@ -31,6 +31,7 @@ from pyspark.sql.pandas.functions import arrow_udf
 from symloom.llm.common import ship, table
 
 CACHE_WORDS, CACHE_PAIRS, LONG_WORD = 120_000, 250_000, 200
+NO_RANK, BLOCK_CELLS = 1 << 40, 1 << 16
 _spaces = regex.compile(r"\s+")
 _loaded: dict[str, "WordBpe"] = {}
 
@@ -83,9 +84,14 @@ class WordBpe:
                 s[-1] += 256
             parts[i] = s
         self.parts = parts
+        table = sorted((a << 17 | b, n, t) for (a, b), (n, t) in self.rank.items())
+        self.merge_keys, self.merge_rank = np.array([k for k, _, _ in table] or [-2], np.int64), np.array([n for _, n, _ in table] or [NO_RANK], np.int64)
+        self.merge_to = np.zeros(len(model["merges"]), np.int64)
+        for _, n, t in table:
+            self.merge_to[n] = t
         # Only tokens that encode to themselves may be proposed.
-        own = {i: s for i, s in parts.items() if len(s) == 1 or self.merge(s) == [i]}
-        self._trie(own)
+        found = self.merge_all(list(parts.values()))
+        self._trie({i: s for (i, s), f in zip(parts.items(), found) if len(s) == 1 or f == i.to_bytes(4, "little")})
         self.pairs: dict[int, bool] = {}
         self.pair_keys, self.pair_fits = np.zeros(0, np.int64), np.zeros(0, bool)
         self.known: dict[str, bytes] = {}
@@ -131,10 +137,57 @@ class WordBpe:
                 heapq.heappush(heap, (r[0], h, ids[h], ids[i]))
         return [x for x in ids if x >= 0]
 
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of merging each pair, NO_RANK where there is no such merge or a side is -1."""
+        keys = left << 17 | right
+        at = np.minimum(np.searchsorted(self.merge_keys, keys), len(self.merge_keys) - 1)
+        return np.where(self.merge_keys[at] == keys, self.merge_rank[at], NO_RANK)
+
+    def _merge_block(self, symbols: list[list[int]]) -> list[bytes]:
+        """merge() of words of similar lengths: a row each, padded with -1, and one merge in each row a round."""
+        n, width = len(symbols), max(map(len, symbols)) + 1
+        ids = np.full((n, width), -1, np.int64)
+        lengths = np.array([len(s) for s in symbols])
+        ids[np.arange(width) < lengths[:, None]] = self.first[list(chain.from_iterable(symbols))]
+        rank, row, out = self._ranks(ids[:, :-1], ids[:, 1:]), np.arange(n), [b""] * n
+        while len(row):
+            at = rank.argmin(1)
+            low = rank[np.arange(len(row)), at]
+            done = np.flatnonzero(low == NO_RANK)
+            if len(done):
+                ended, counts = ids[done], (ids[done] >= 0).sum(1)
+                packed, edge = ended[ended >= 0].astype("<u4").tobytes(), [0, *(4 * np.cumsum(counts)).tolist()]
+                for r, i, j in zip(row[done].tolist(), edge, edge[1:]):
+                    out[r] = packed[i:j]
+                go = low != NO_RANK
+                ids, rank, row, at, low = ids[go], rank[go], row[go], at[go], low[go]
+                if not len(row):
+                    break
+            each, cols = np.arange(len(row)), np.arange(width)
+            ids = np.take_along_axis(ids, np.minimum(cols + (cols > at[:, None]), width - 1), 1)
+            rank = np.take_along_axis(rank, np.minimum(cols[:-1] + (cols[:-1] > at[:, None]), width - 2), 1)
+            ids[each, at] = new = self.merge_to[low]
+            rank[each, at] = self._ranks(new, ids[each, at + 1])
+            h = np.flatnonzero(at)
+            rank[h, at[h] - 1] = self._ranks(ids[h, at[h] - 1], new[h])
+        return out
+
+    def merge_all(self, symbols: list[list[int]]) -> list[bytes]:
+        """merge() of many words as packed ids. Words go in blocks of similar lengths and bounded size."""
+        out, order, i = [b""] * len(symbols), sorted(range(len(symbols)), key=lambda k: -len(symbols[k])), 0
+        while i < len(order):
+            block = order[i : i + max(1, BLOCK_CELLS // (len(symbols[order[i]]) + 1))]
+            for k, ids in zip(block, self._merge_block([symbols[k] for k in block])):
+                out[k] = ids
+            i += len(block)
+        return out
+
     def fits(self, a: int, b: int) -> bool:
         """Whether the symbols of the two tokens encode to just these two. A token that ends a word fits nothing after it."""
         key = a << 17 | b
         if (known := self.pairs.get(key)) is None:
+            if len(self.pairs) >= CACHE_PAIRS:
+                self.pairs.clear()
             known = self.pairs[key] = self.merge(self.parts[a] + self.parts[b]) == [a, b]
         return known
 
@@ -143,11 +196,12 @@ class WordBpe:
         keys, where = np.unique(left << 17 | right, return_inverse=True)
         at = np.minimum(np.searchsorted(self.pair_keys, keys), max(len(self.pair_keys) - 1, 0))
         lacking = keys[self.pair_keys[at] != keys] if len(self.pair_keys) else keys
-        if len(self.pairs) > CACHE_PAIRS:
-            self.pairs.clear()
+        if len(self.pair_keys) > CACHE_PAIRS:
             self.pair_keys, self.pair_fits, lacking = np.zeros(0, np.int64), np.zeros(0, bool), keys
         if len(lacking):
-            found = np.array([self.fits(k >> 17, k & 0x1FFFF) for k in lacking.tolist()], bool)
+            pairs = [(k >> 17, k & 0x1FFFF) for k in lacking.tolist()]
+            merged = self.merge_all([self.parts[a] + self.parts[b] for a, b in pairs])
+            found = np.array([m == a.to_bytes(4, "little") + b.to_bytes(4, "little") for m, (a, b) in zip(merged, pairs)], bool)
             all_keys = np.concatenate([self.pair_keys, lacking])
             order = np.argsort(all_keys)
             self.pair_keys, self.pair_fits = all_keys[order], np.concatenate([self.pair_fits, found])[order]
@@ -213,13 +267,11 @@ class WordBpe:
         joint = word[1:] == word[:-1]
         bad = np.zeros(len(word), bool)
         bad[1:][joint] = ~self._test(token[:-1][joint], token[1:][joint])
-        failing = set(word[bad].tolist())
-        packed, edge = token.astype("<u4"), np.searchsorted(word, np.arange(len(short) + 1)).tolist()
-        for i, (w, _) in enumerate(short):
-            if i in failing:
-                self.known[w] = np.array(self.merge(symbols[starts[i] : ends[i]].tolist()), "<u4").tobytes()
-            else:
-                self.known[w] = packed[edge[i] : edge[i + 1]].tobytes()
+        packed, edge = token.astype("<u4").tobytes(), (4 * np.searchsorted(word, np.arange(len(short) + 1))).tolist()
+        self.known.update((w, packed[i:j]) for (w, _), i, j in zip(short, edge, edge[1:]))
+        failing = np.unique(word[bad]).tolist()
+        again = self.merge_all([symbols[starts[i] : ends[i]].tolist() for i in failing])
+        self.known.update((short[i][0], ids) for i, ids in zip(failing, again))
 
     def _spoken(self, text: str) -> list[str]:
         """The normalised words of a text without special tokens."""

@@ -1,6 +1,7 @@
 """The training-data operators against plain versions, round trips and held-out accuracy, and their edge cases."""
 
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -372,3 +373,14 @@ def test_pipeline(spark):
     out = P.tokens(spark, mixed, sf)
     run = P.run(spark, sf)
     assert by(run, "doc_id", "n_tokens") == by(out, "doc_id", "n_tokens")
+
+
+def test_bpe_merges_together_as_one_by_one():
+    own = bpe.WordBpe(bpe.vocabulary())
+    rnd = random.Random(3)
+    words = [[rnd.choice([*range(97, 123), rnd.randrange(256)]) for _ in range(rnd.randrange(1, 40))] for _ in range(2000)]
+    words += [[97] * n for n in (1, 2, 3, 64, 199)] + [[*w[:-1], w[-1] + 256] for w in words[:1000]]
+    assert own.merge_all(words) == [b"".join(i.to_bytes(4, "little") for i in own.merge(w)) for w in words]
+    assert own.merge_all([]) == []
+    proposed = {i for i, s in own.parts.items() if len(s) == 1 or own.merge(s) == [i]}
+    assert proposed == {t for t in own.token.tolist() if t >= 0}
