@@ -4,7 +4,9 @@ between the two compressed sizes, normalised by the text's size, becomes a calib
 The model is fitted on a bounded, documented sample: at most FIT_ROWS labelled rows of either class, those of the
 smallest hash of doc_id, each by at most FIT_BYTES bytes. The curve (logistic, over the difference, the compressed share and
 their products) is fitted crosswise: either half is scored by dictionaries of the other, so that no text meets a dictionary
-that holds it. The dictionaries that are used then come from all of the sample. Scoring reads whole texts, in blocks, so that very long texts need no more memory.
+that holds it. The dictionaries that are used then come from all of the sample. Scoring reads whole texts, in even blocks of
+at most FIT_BYTES, so that each block lies in the range that the curve was fitted on; a text's evidence (log-odds) is the
+mean of its blocks', weighted by their bytes.
 
 Cases: null and empty texts get the share of good rows among the calibration rows; without labels of both classes every
 text gets that share too (0.5 without any label). Labels that are null are not used. Repeated rows each get a score,
@@ -25,7 +27,7 @@ from pyspark.sql.pandas.functions import arrow_udf
 from symloom.llm import arrays as A
 from symloom.llm.common import long_hash, ship, table
 
-FIT_ROWS, FIT_BYTES, DICT_BYTES, LEVEL, BLOCK = 1200, 8192, 65536, 3, 1 << 17
+FIT_ROWS, FIT_BYTES, DICT_BYTES, LEVEL = 1200, 8192, 65536, 3
 
 
 @dataclass
@@ -44,14 +46,15 @@ class Model:
         return out
 
 
-def _sizes(texts: list, compressors: list) -> np.ndarray:
-    """Bytes of each text, and compressed with either dictionary, block by block."""
-    out = np.zeros((len(texts), 3))
-    for i, t in enumerate(texts):
-        for at in range(0, len(t), BLOCK):
-            part = t[at : at + BLOCK]
-            out[i] += len(part), len(compressors[0].compress(part)), len(compressors[1].compress(part))
-    return out
+def _blocks(n: int) -> list[tuple[int, int]]:
+    """The bounds of even blocks of at most FIT_BYTES of n bytes."""
+    k = -(-n // FIT_BYTES)
+    return [(n * j // k, n * (j + 1) // k) for j in range(k)]
+
+
+def _sizes(blocks: list, compressors: list) -> np.ndarray:
+    """Bytes of each block, and compressed with either dictionary."""
+    return np.array([[len(t), *(len(c.compress(t)) for c in compressors)] for t in blocks], float).reshape(-1, 3)
 
 
 def _features(sizes: np.ndarray) -> np.ndarray:
@@ -99,9 +102,13 @@ def fit_model(good: list[bytes], bad: list[bytes]) -> Model:
 def scores(model: Model, texts: list) -> np.ndarray:
     if not model.weights:
         return np.full(len(texts), model.prior)
-    sizes = _sizes(texts, model.compressors())
-    p = 1 / (1 + np.exp(-np.clip(_features(sizes) @ np.array(model.weights), -30, 30)))
-    return np.where(sizes[:, 0] > 0, p, model.prior)
+    cuts = [_blocks(len(t)) for t in texts]
+    of = np.repeat(np.arange(len(texts)), [len(c) for c in cuts])
+    sizes = _sizes([t[i:j] for t, c in zip(texts, cuts) for i, j in c], model.compressors())
+    evidence = np.bincount(of, _features(sizes) @ np.array(model.weights) * sizes[:, 0], minlength=len(texts))
+    n = np.array([len(t) for t in texts])
+    p = 1 / (1 + np.exp(-np.clip(evidence / np.maximum(n, 1), -30, 30)))
+    return np.where(n > 0, p, model.prior)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

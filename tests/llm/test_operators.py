@@ -228,6 +228,26 @@ def test_classifier_held_out(spark):
     assert bad.where("predicted = 0").count() >= 0.7 * bad.count()
 
 
+def test_classifier_long_texts(spark):
+    docs, labels = (quality_classifier.table(spark, "/root/testdata/sf0.1", name) for name in ("documents", "labels"))
+    model = quality_classifier.fit(docs, labels)
+    held = docs.join(labels, "doc_id").where(quality_classifier.held_out()).where("length(text) > 0").orderBy("doc_id").collect()
+    for quality in (1, 0):
+        text = "\n".join(r.text for r in held if r.quality == quality).encode()
+        got = quality_classifier.scores(model, [(text * (size // len(text) + 1))[:size] for size in (1 << 16, 1 << 18, 1 << 20, 1 << 21)])
+        assert ((got >= 0.5) == quality).all(), (quality, got)
+
+
+def test_classifier_scores_a_long_text_as_its_blocks():
+    random.seed(4)
+    say = lambda words: " ".join(random.choices(words, k=1600)).encode()[: quality_classifier.FIT_BYTES]
+    good, bad = ["river", "stone", "house", "walks", "green"], ["click", "stone", "house", "cheap", "green"]
+    model = quality_classifier.fit_model([say(good) for _ in range(40)], [say(bad) for _ in range(40)])
+    text = say(good + bad)
+    one, many, none = quality_classifier.scores(model, [text, text * 200, b""])
+    assert abs(one - many) < 1e-9 and none == model.prior
+
+
 def test_classifier_edges(spark, docs, empty, rows):
     labels = spark.createDataFrame([(7, 1), (7, 1), (10, None), (None, 0)], "doc_id long, quality int")
     kept = quality_classifier.keep_good(docs, labels)
