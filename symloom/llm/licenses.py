@@ -4,7 +4,12 @@ identifiers of a text is matched against ordered licence rules. DataFrame functi
 Sentences end at line breaks and at . ! ? ; before white space. Normalised: A-Z lower-cased, runs of white space to one
 space, comment signs and quotes and white space at either end and a final . ! ? ; removed. A rule is a sequence of
 identifiers that stand next to each other among the identifiers of the text (sentences without one between them do not
-matter). Rules are tried in the order of RULES, longest texts first; identifiers that a rule used are spent.
+matter). Rules are tried in the order of WHOLE_RULES and RULES, longest texts first; identifiers that a rule used are spent.
+
+Whole licence texts are wrapped, commented and go on after the phrases of SENTENCES. So the full sentences in WHOLE, and those
+of SENTENCES but the titles and "all rights reserved", are also found across line breaks and comment signs, where they end
+at . ! ? ; : or a line's end; what lies between them is split as above. The SQL reads SENTENCES and RULES line by line only,
+so it finds fewer in such texts. SPDX tags name one licence; tags with OR, AND or WITH are not resolved.
 
 Cases: null and empty texts have no sentences and no licences; repeated rows each get a row; an identifier that is found
 more than once is listed as often, a licence once; an empty table gives an empty result; other columns are left alone.
@@ -63,10 +68,89 @@ RULES = [
     ("public-domain", ["public-domain"]),
     ("proprietary", ["all-rights"]),
 ]
+_GPL = "this {} free software{} you can redistribute it and/or modify it under the terms of the gnu {}general public license as published by the free software foundation{} either version {} of the license, or (at your option) any later version"
+_USELESS = "this {} is distributed in the hope that it will be useful, but without any warranty; without even the implied warranty of merchantability or fitness for a particular purpose"
+# The full sentences of common licences, found across line breaks.
+WHOLE = {
+    "permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"software\"), to deal in the software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the software, and to permit persons to whom the software is furnished to do so, subject to the following conditions": "mit-grant",
+    "the software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement": "as-is",
+    "you may obtain a copy of the license at http://www.apache.org/licenses/license-2.0": "apache-copy",
+    "you may obtain a copy of the license at https://www.apache.org/licenses/license-2.0": "apache-copy",
+    "unless required by applicable law or agreed to in writing, software distributed under the license is distributed on an \"as is\" basis, without warranties or conditions of any kind, either express or implied": "apache-as-is",
+    "redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer": "bsd-source",
+    "redistributions of source code must retain the above copyright notice, this list of conditions, and the following disclaimer": "bsd-source",
+    "redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution": "bsd-binary",
+    "redistributions in binary form must reproduce the above copyright notice, this list of conditions, and the following disclaimer in the documentation and/or other materials provided with the distribution": "bsd-binary",
+    "all advertising materials mentioning features or use of this software must display the following acknowledgement": "bsd-advert",
+    "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-endorse",
+    "permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
+    "permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
+    "this source code form is subject to the terms of the mozilla public license, v. 2.0": "mpl2-ref",
+    "this is free and unencumbered software released into the public domain": "unlicense",
+    **{
+        _GPL.format(f"{what} is", a, kind, b, version): f"{name}{version}-grant"
+        for what, kind, name, versions in (
+            ("program", "", "gpl", ("2", "3")), ("library", "lesser ", "lgpl", ("2.1", "3")), ("program", "affero ", "agpl", ("3",)),
+        )
+        for version in versions
+        for a, b in ((":", ","), (";", ";"))
+    },
+    **{_USELESS.format(what): "gpl-warranty" for what in ("program", "library")},
+}
+SPDX = [
+    "MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later",
+    "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "CC0-1.0", "CC-BY-4.0",
+    "CC-BY-SA-4.0", "CC-BY-NC-4.0", "Unlicense",
+]
+_TEXTS = [
+    ("BSD-4-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-advert", "bsd-endorse"]),
+    ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"]),
+    *[r for r in RULES if len(r[1]) > 1],
+    ("AGPL-3.0-or-later", ["agpl3-grant", "gpl-warranty"]),
+    ("LGPL-3.0-or-later", ["lgpl3-grant", "gpl-warranty"]),
+    ("LGPL-2.1-or-later", ["lgpl2.1-grant", "gpl-warranty"]),
+    ("GPL-2.0-or-later", ["gpl2-grant", "gpl-warranty"]),
+    ("ISC", ["isc-grant"]),
+]
+# Before RULES; "all rights reserved" right before a licence text belongs to that text.
+WHOLE_RULES = [
+    *[(name, ["all-rights", *seq]) for name, seq in _TEXTS],
+    *_TEXTS,
+    *[(name, [x]) for name, x in (
+        ("AGPL-3.0-or-later", "agpl3-grant"), ("LGPL-3.0-or-later", "lgpl3-grant"), ("LGPL-2.1-or-later", "lgpl2.1-grant"),
+        ("GPL-2.0-or-later", "gpl2-grant"), ("MPL-2.0", "mpl2-ref"), ("Unlicense", "unlicense"),
+    )],
+    *[(name, [f"spdx-{name.lower()}"]) for name in SPDX],
+]
 ENDS = r"\n|[.!?;]+[\x20\x09-\x0D]+"
 TRIM = "[\\x20\\x09-\\x0D#/*\"']"
 #: A sentence of SENTENCES is at most so long; longer ones need no look-up.
 LONGEST = max(map(len, SENTENCES)) + 80
+#: Between two words of a wrapped sentence: white space, line breaks and comment signs. Quotes as licence texts set them.
+GAP = r"[\x20\x09-\x0D][\x20\x09-\x0D#/*;%>|-]*+"
+QUOTE = "``|''|[\"\u201c\u201d]"
+#: Stands around the wrapped sentences that were found.
+MARK = "\x1e"
+
+
+def _pattern(sentence: str) -> str:
+    words = ["".join(f"(?:{QUOTE})" if c == '"' else c if c.isalnum() else "\\" + c for c in w) for w in sentence.split(" ")]
+    return GAP.join(words)
+
+
+def _wrapped() -> tuple[dict[str, str], str]:
+    """The sentences found across line breaks with their identifiers, and the pattern that finds them, longest first."""
+    known = {k: v for k, v in SENTENCES.items() if v not in ("mit-title", "all-rights")}
+    any_of = lambda sentences: "|".join(map(_pattern, sorted(sentences, key=len, reverse=True)))
+    begins = r"(?<=\A|\n|[.!?;][\x20\x09-\x0D]|(?:\A|[\n.!?;])[\x20\x09-\x0D#/*\"']{1,40})"
+    ends = r"(?=[\x20\x09\x0D\"'*/]*+(?:[.!?;:]|\n|\z))"
+    tags = {f"spdx-license-identifier: {x.lower()}": f"spdx-{x.lower()}" for x in SPDX}
+    alone = r"(?![A-Za-z0-9+]|[.-][A-Za-z0-9]|[\x20\x09]++(?i:or|and|with)\b)"
+    sought = f"(?<![A-Za-z0-9])(?:{any_of(WHOLE)}){ends}|{begins}(?:{any_of(known)}){ends}|(?<![A-Za-z0-9])(?:{any_of(tags)}){alone}"
+    return {**known, **WHOLE, **tags}, rf"(?i)(\b(?=[a-z])(?:{sought}))"
+
+
+WRAPPED, WRAPPED_PATTERN = _wrapped()
 
 
 def normal(sentence: Column) -> Column:
@@ -76,15 +160,26 @@ def normal(sentence: Column) -> Column:
 
 def sentence_ids(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
     """The identifiers of a text's sentences in order."""
-    known = F.create_map(*[F.lit(x) for kv in sentences.items() for x in kv])
+    known, whole = (F.create_map(*[F.lit(x) for kv in d.items() for x in kv]) for d in (sentences, WRAPPED))
     # A cheap test spares most sentences the normalisation: each known sentence holds one of these stems.
     stems = "licen[sc]|permission|copyright|software|rights reserved|redistribution|warranty|public domain|this program|agreed to"
-    near = F.filter(F.split(text, ENDS, -1), lambda s: (F.length(s) <= LONGEST) & s.rlike(f"(?i){stems}"))
-    ids = F.transform(near, lambda s: F.try_element_at(known, normal(s)))
+
+    def of_lines(part: Column) -> Column:
+        near = F.filter(F.split(part, ENDS, -1), lambda s: (F.length(s) <= LONGEST) & s.rlike(f"(?i){stems}"))
+        return F.transform(near, lambda s: F.try_element_at(known, normal(s)))
+
+    def of_whole(part: Column) -> Column:
+        s = F.regexp_replace(F.regexp_replace(ascii_lower(part), GAP, " "), QUOTE, '"')
+        return F.array(F.try_element_at(whole, s))
+
+    clean = F.translate(text, MARK, "\x1f")
+    marked = F.when(clean.rlike(f"(?i){stems}"), F.regexp_replace(clean, WRAPPED_PATTERN, f"{MARK}$1{MARK}")).otherwise(clean)
+    parts = F.split(marked, MARK, -1)
+    ids = F.flatten(F.transform(parts, lambda part, i: F.when(i % 2 == 1, of_whole(part)).otherwise(of_lines(part))))
     return F.filter(ids, lambda x: x.isNotNull())
 
 
-def licences(ids: Column, rules: list = RULES) -> Column:
+def licences(ids: Column, rules: list = WHOLE_RULES + RULES) -> Column:
     """The distinct licences that the rules find, sorted. Identifiers stand as "<id>"; those that a rule used become "<>"."""
     ordered = F.array(*[F.struct(F.lit(name).alias("name"), F.lit("".join(f"<{x}>" for x in seq)).alias("sought")) for name, seq in rules])
     marked = F.concat_ws("", F.transform(ids, lambda x: F.concat(F.lit("<"), x, F.lit(">"))))

@@ -145,6 +145,89 @@ def test_licences(spark, text, found):
     assert r.licences == found
 
 
+MIT_TEXT = """MIT License
+
+Copyright (c) 2020 A Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM."""
+APACHE_TEXT = """Copyright 2015 The Authors. All Rights Reserved.
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+GPL_TEXT = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+BSD_TEXT = """Copyright (c) 2020, A Person. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD3_TEXT = BSD_TEXT + """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+
+
+@pytest.mark.parametrize(
+    "text, ids, found",
+    [
+        (MIT_TEXT, "mit-title,mit-grant,mit-notice,as-is", "MIT"),
+        (APACHE_TEXT, "all-rights,apache-ref,apache-comply,apache-copy,apache-as-is", "Apache-2.0"),
+        (GPL_TEXT, "gpl3-grant,gpl-warranty", "GPL-3.0-or-later"),
+        (GPL_TEXT.replace("software:", "software;").replace("Foundation,", "Foundation;").replace("version 3", "version 2"), "gpl2-grant,gpl-warranty", "GPL-2.0-or-later"),
+        (BSD_TEXT, "all-rights,bsd-grant,bsd-source,bsd-binary", "BSD-2-Clause"),
+        (BSD3_TEXT, "all-rights,bsd-grant,bsd-source,bsd-binary,bsd-endorse", "BSD-3-Clause"),
+        ("Licensed under the\n// Apache License, Version 2.0.", "apache-ref", "Apache-2.0"),
+        ("// SPDX-License-Identifier: GPL-2.0-or-later\nint x;", "spdx-gpl-2.0-or-later", "GPL-2.0-or-later"),
+        ("<!-- SPDX-License-Identifier: MIT -->", "spdx-mit", "MIT"),
+        ("SPDX-License-Identifier: MIT OR Foo", "", ""),
+        ("We are not licensed under the\nApache License, Version 2.0.", "", ""),
+        (MIT_TEXT.replace("without restriction,", "without restriction, save for trade,"), "mit-title,mit-notice,as-is", "MIT"),
+    ],
+)
+def test_whole_licence_texts(spark, text, ids, found):
+    comment = lambda sign: "\n".join(f"{sign} {x}" for x in text.split("\n"))
+    rows = [(0, text), (1, comment("#")), (2, comment(" *")), (3, text.replace("\n", "\r\n")), (4, f"Words.\n\n{text}\n\nWords.")]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.sentence_ids, r.licences) for r in got] == [(i, ids, found) for i, _ in rows]
+
+
 def test_licence_rows(docs, empty, rows):
     assert licenses.scan(docs).count() == len(rows)
     assert licenses.scan(empty).count() == 0
