@@ -123,9 +123,7 @@ WHOLE_RULES = [
     *[(name, [f"spdx-{name.lower()}"]) for name in SPDX],
 ]
 ENDS = r"\n|[.!?;]+[\x20\x09-\x0D]+"
-TRIM = "[\\x20\\x09-\\x0D#/*\"']"
-#: A sentence of SENTENCES is at most so long; longer ones need no look-up.
-LONGEST = max(map(len, SENTENCES)) + 80
+TRIM = " \t\n\x0b\f\r#/*\"'"
 #: Between two words of a wrapped sentence: white space, line breaks and comment signs. Quotes as licence texts set them.
 GAP = r"[\x20\x09-\x0D][\x20\x09-\x0D#/*;%>|-]*+"
 QUOTE = "``|''|[\"\u201c\u201d]"
@@ -155,7 +153,8 @@ WRAPPED, WRAPPED_PATTERN = _wrapped()
 
 def normal(sentence: Column) -> Column:
     s = F.regexp_replace(ascii_lower(sentence), r"[\x20\x09-\x0D]+", " ")
-    return F.regexp_replace(s, f"^{TRIM}+|[.!?;]*{TRIM}*$", "")
+    # Trims, as a pattern that ends in $ takes quadratic time over long runs of comment signs.
+    return F.rtrim(F.rtrim(F.ltrim(s, F.lit(TRIM)), F.lit(TRIM)), F.lit(".!?;"))
 
 
 def sentence_ids(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
@@ -165,7 +164,7 @@ def sentence_ids(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
     stems = "licen[sc]|permission|copyright|software|rights reserved|redistribution|warranty|public domain|this program|agreed to"
 
     def of_lines(part: Column) -> Column:
-        near = F.filter(F.split(part, ENDS, -1), lambda s: (F.length(s) <= LONGEST) & s.rlike(f"(?i){stems}"))
+        near = F.filter(F.split(part, ENDS, -1), lambda s: s.rlike(f"(?i){stems}"))
         return F.transform(near, lambda s: F.try_element_at(known, normal(s)))
 
     def of_whole(part: Column) -> Column:

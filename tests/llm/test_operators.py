@@ -228,6 +228,16 @@ def test_whole_licence_texts(spark, text, ids, found):
     assert [(r.doc_id, r.sentence_ids, r.licences) for r in got] == [(i, ids, found) for i, _ in rows]
 
 
+@pytest.mark.parametrize("pad", [" ", "#", "/* ", "\t"])
+def test_padded_licence_sentences(spark, pad):
+    known = "Released under the MIT License."
+    rows = [(1, pad * 900 + known), (2, known + pad * 900), (3, known.replace(" ", " " * 300)), (4, "license " + "#" * 300000 + " x"), (5, "..#license;.!*/ ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.sentence_ids for r in licenses.scan(docs).collect()}
+    assert found == {1: "mit-ref", 2: "mit-ref", 3: "mit-ref", 4: "", 5: ""}
+    assert docs.where("doc_id = 5").select(licenses.normal(F.col("text"))).first()[0] == "..#license"
+
+
 def test_licence_rows(docs, empty, rows):
     assert licenses.scan(docs).count() == len(rows)
     assert licenses.scan(empty).count() == 0
