@@ -172,10 +172,10 @@ def sentence_ids(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
         return F.array(F.try_element_at(whole, s))
 
     clean = F.translate(text, MARK, "\x1f")
-    marked = F.when(clean.rlike(f"(?i){stems}"), F.regexp_replace(clean, WRAPPED_PATTERN, f"{MARK}$1{MARK}")).otherwise(clean)
-    parts = F.split(marked, MARK, -1)
+    parts = F.split(F.regexp_replace(clean, WRAPPED_PATTERN, f"{MARK}$1{MARK}"), MARK, -1)
     ids = F.flatten(F.transform(parts, lambda part, i: F.when(i % 2 == 1, of_whole(part)).otherwise(of_lines(part))))
-    return F.filter(ids, lambda x: x.isNotNull())
+    # Most texts hold no stem at all, so none of their sentences does.
+    return F.when(text.rlike(f"(?i){stems}"), F.filter(ids, lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
 
 
 def licences(ids: Column, rules: list = WHOLE_RULES + RULES) -> Column:
