@@ -61,21 +61,33 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = 1 << (max(n, PIECE + 1) - 1).bit_length()
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            p = np.full(size, base, np.uint64)
+    """The first n powers of the base and of its inverse; those that a usual piece needs are kept."""
+    held = _powers
+    if len(held[0]) < n:
+        held = []
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            p = np.full(max(n, PIECE + 1), base, np.uint64)
             p[0] = 1
-            _powers[k] = np.cumprod(p, dtype=np.uint64)
-    return _powers[0][:n], _powers[1][:n]
+            held.append(np.cumprod(p, dtype=np.uint64))
+        if n <= PIECE + 1:
+            _powers[:] = held
+    return held[0][:n], held[1][:n]
 
 
 def span_ids(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit identifier of data[start:end] for each span, equal for equal bytes anywhere."""
-    up, down = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_IDS[data] * up[:-1], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * ODD[63])
+    """A 64-bit identifier of data[start:end] for each span, equal for equal bytes anywhere. Spans are in order and do not
+    overlap; they are worked off in runs of about PIECE bytes."""
+    out, i = np.empty(len(starts), np.uint64), 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + PIECE, "right")))
+        a, b = int(starts[i]), int(ends[j - 1])
+        up, down = powers(b - a + 1)
+        sums = np.zeros(b - a + 1, np.uint64)
+        np.cumsum(BYTE_IDS[data[a:b]] * up[:-1], out=sums[1:])
+        s, e = starts[i:j] - a, ends[i:j] - a
+        out[i:j] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * ODD[63])
+        i = j
+    return out
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

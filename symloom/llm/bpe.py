@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
-from symloom.llm.common import ship, table
+from symloom.llm.common import begin, hold, ship, table
 
 CACHE_WORDS, CACHE_PAIRS, LONG_WORD = 120_000, 250_000, 200
 NO_RANK, BLOCK_CELLS = 1 << 40, 1 << 16
@@ -329,6 +329,8 @@ class WordBpe:
 def tokenizer(path: str) -> WordBpe:
     """The tokenizer of a file, loaded once per Python worker."""
     if path not in _loaded:
+        begin("bpe")
+        hold("bpe", _loaded.clear)
         _loaded[path] = WordBpe(path)
     return _loaded[path]
 

@@ -63,7 +63,9 @@ def deal(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTES)
     from pyspark import TaskContext
 
     from symloom.llm import arrays as A
+    from symloom.llm.common import begin
 
+    begin("chunks")
     task, seq, row = TaskContext.get().partitionId(), 0, 0
     for batch in batches:
         data, offsets = A.flat(batch.column(batch.schema.get_field_index(text)))
@@ -85,7 +87,7 @@ def pack(chunk: str, ids: np.ndarray, parts: int) -> tuple[pa.RecordBatch, np.nd
     edge = np.searchsorted(part, np.arange(parts + 1))
     used = np.flatnonzero(np.diff(edge))
     rows = [(distinct[edge[p] : edge[p + 1]].tobytes(), np.packbits(count[edge[p] : edge[p + 1]] > 1).tobytes()) for p in used]
-    columns = [pa.array([chunk] * len(used)), pa.array(used, pa.int32()), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())]
+    columns = [pa.array([chunk] * len(used), pa.string()), pa.array(used, pa.int32()), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())]
     return pa.RecordBatch.from_arrays(columns, names=["chunk", "part", "ids", "many"]), place
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
 from symloom.llm import arrays as A
-from symloom.llm.common import long_hash, ship, table
+from symloom.llm.common import begin, long_hash, ship, table
 
 FIT_ROWS, FIT_BYTES, DICT_BYTES, LEVEL = 1200, 8192, 65536, 3
 
@@ -144,6 +144,7 @@ def quality_score(text: Column, model: Model) -> Column:
 
     @arrow_udf("double")
     def score(column: pa.Array) -> pa.Array:
+        begin("quality")
         data, offsets = A.flat(column)
         raw = memoryview(data)
         return pa.array(scores(model, [raw[i:j] for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist())]))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
 from symloom.llm import arrays as A
-from symloom.llm.common import ship
+from symloom.llm.common import begin, ship
 
 #: The characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -100,6 +100,7 @@ def quality_rules(text: Column, rules: dict = RULES) -> Column:
 
     @arrow_udf(f"struct<{ddl}>")
     def judge(column: pa.Array) -> pa.Array:
+        begin("rules")
         parts = [measure(d, o, rules) for _, _, d, o in A.pieces(*A.flat(column))]
         cols = [pa.array(np.concatenate([p[x] for p in parts]) if parts else [], f.type) for x, f in zip(names, fields)]
         return pa.StructArray.from_arrays(cols, fields=fields)
