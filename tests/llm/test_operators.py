@@ -433,12 +433,55 @@ def test_fingerprint_groups_are_verified(docs, rows):
 # ---- substrings ----
 
 
-@pytest.mark.parametrize("length", [400, 50])
-def test_repeated_spans(docs, rows, length):
-    out = suffix_dedup.repeated_spans(docs, length=length)
+def removed_rows(docs, **more):
+    out = suffix_dedup.repeated_spans(docs, **more)
     gone = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
-    got = by(out.select("doc_id", "n_bytes", gone.alias("g"), F.size("spans").alias("k"), "kept_sha256"), "doc_id", "n_bytes", "g", "k", "kept_sha256")
-    assert got == sorted(cases.removed(rows, length), key=str)
+    return by(out.select("doc_id", "n_bytes", gone.alias("g"), F.size("spans").alias("k"), "kept_sha256"), "doc_id", "n_bytes", "g", "k", "kept_sha256")
+
+
+@pytest.mark.parametrize("length, hot", [(400, 2000), (50, 2000), (400, 3), (50, 0)])
+def test_repeated_spans(docs, rows, length, hot):
+    assert removed_rows(docs, length=length, hot=hot) == sorted(cases.removed(rows, length), key=str)
+
+
+@pytest.mark.parametrize("texts", [["short"], [None, None, ""], ["a b " * 30, "".join(chr(97 + i * i % 26) + str(i) for i in range(400))], [], ["x" * 401], ["x" * 400], ["x" * 500, "y" * 399, None]])
+def test_repeated_spans_of_odd_tables(spark, texts):
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert removed_rows(docs) == sorted(cases.removed(rows, 400), key=str)
+
+
+def test_passages_of_fifty_words(docs, rows):
+    got = by(suffix_dedup.repeated_spans(docs), "doc_id", "kept_sha256", "n_shared_words")
+    words = [cases.WORD.findall(t or "") for _, t in rows]
+    seen = defaultdict(set)
+    for k, w in enumerate(words):
+        for n in (50, 32):
+            for i in range(len(w) - n + 1):
+                seen[tuple(w[i : i + n])].add(k)
+    shares = [[any(len(seen[tuple(w[i : i + n])]) > 1 for i in range(len(w) - n + 1)) for n in (50, 32)] for w in words]
+    plain = sorted(((i, d, fifty, some) for (i, *_, d), (fifty, some) in zip(cases.removed(rows, 400), shares)), key=str)
+    assert any(r[2] for r in plain) and not all(r[3] for r in plain)
+    for g, (i, d, fifty, some) in zip(got, plain):
+        assert g[:2] == (i, d) and (g[2] > 0 or not fifty) and (g[2] == 0 or some)
+
+
+def test_refined_buckets_tell_windows_apart():
+    rng = np.random.default_rng(6)
+    for length in (15, 50, 64, 400):
+        runs, phase, count = [], [], []
+        pool = rng.integers(97, 99, 900).astype(np.uint8).tobytes()
+        for _ in range(40):
+            windows, at = int(rng.integers(1, 60)), int(rng.integers(0, 400))
+            raw = bytearray(pool[at : at + windows + length - 1])
+            if rng.random() < 0.5:
+                raw[int(rng.integers(0, len(raw)))] = 100
+            runs.append(bytes(raw))
+            phase.append(-at % 8)  # an anchor's offset depends on the text alone
+            count.append(len(raw) - length + 1)
+        got = suffix_dedup.refine(runs, np.array(phase), np.array(count), length)
+        seen = Counter((raw[i : i + length], (p - i) % 8) for raw, p, c in zip(runs, phase, count) for i in range(c))
+        assert [g.tolist() for g in got] == [[seen[raw[i : i + length], (p - i) % 8] > 1 for i in range(c)] for raw, p, c in zip(runs, phase, count)]
 
 
 def test_repeated_spans_of_nothing(empty):
