@@ -99,3 +99,23 @@ def base_rules(text: str | None) -> tuple:
             dup += line in seen
             seen.add(line)
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), dup, len(held), len(w) < 50 or 100 * len(held) > 50 * len(w)
+
+
+def coverage(text: str | None, grams=(4, 6, 10)) -> dict[str, float]:
+    """Shares of word characters inside n-grams found twice or more, and inside lines found earlier."""
+    text = text or ""
+    w = WORD.findall(text)
+    chars = max(sum(map(len, w)), 1)
+    out = {}
+    for n in grams:
+        at = defaultdict(list)
+        for i in range(len(w) - n + 1):
+            at[tuple(w[i : i + n])].append(i)
+        held = {i + d for v in at.values() if len(v) > 1 for i in v for d in range(n)}
+        out[f"gram{n}_share"] = sum(len(w[i]) for i in held) / chars
+    seen, later = set(), 0
+    for line in text.split("\n"):
+        if line in seen:
+            later += sum(map(len, WORD.findall(line)))
+        seen.add(line)
+    return out | {"line_share": later / chars}
