@@ -1,16 +1,16 @@
 """Quality classifier by compression: zstandard dictionaries built from good and from bad labelled text. The difference
 between the two compressed sizes, normalised by the text's size, becomes a calibrated score.
 
-The model is fitted on a bounded, documented sample: at most FIT_ROWS labelled rows of either class, those of the
-smallest hash of doc_id, each by at most FIT_BYTES bytes. The curve (logistic, over the difference, the compressed share and
-their products) is fitted crosswise: either half is scored by dictionaries of the other, so that no text meets a dictionary
-that holds it. The dictionaries that are used then come from all of the sample. Scoring reads whole texts, in even blocks of
-at most FIT_BYTES, so that each block lies in the range that the curve was fitted on; a text's evidence (log-odds) is the
-mean of its blocks', weighted by their bytes.
-
-Cases: null and empty texts get the share of good rows among the calibration rows; without labels of both classes every
-text gets that share too (0.5 without any label). Labels that are null are not used. Repeated rows each get a score,
-equal texts the same one; an empty table gives an empty result; other columns are never inputs.
+Texts are worked off in even blocks of at most BLOCK bytes, in fitting as in scoring, and always whole. The model is fitted on
+a bounded, documented sample: at most FIT_BLOCKS blocks of either class, those of the smallest hash of doc_id and block
+number among all blocks of all labelled texts. The curve (logistic, over the difference alone) is fitted crosswise: either half
+of the sample is scored by dictionaries of the other, so that no block meets a dictionary that holds it. The dictionaries that
+are used then come from all of the sample. A text's evidence (log-odds) is the mean of its blocks', weighted by their bytes.
+
+Cases: null and empty texts get the share of good rows among the labelled rows; with fewer than 4 blocks of either class every
+text gets that share too (0.5 without any label), and keep_good() rejects nothing. Labels that are null are not used; of
+different labels of a doc_id the lower one counts. Repeated rows each get a score, equal texts the same one; an empty table gives
+an empty result; other columns are never inputs.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql.pandas.functions import arrow_udf
 from symloom.llm import arrays as A
 from symloom.llm.common import begin, long_hash, ship, table
 
-FIT_ROWS, FIT_BYTES, DICT_BYTES, LEVEL = 1200, 8192, 65536, 3
+FIT_BLOCKS, BLOCK, DICT_BYTES, LEVEL = 4000, 1024, 65536, 3
 
 
 @dataclass
@@ -47,8 +47,8 @@ class Model:
 
 
 def _blocks(n: int) -> list[tuple[int, int]]:
-    """The bounds of even blocks of at most FIT_BYTES of n bytes."""
-    k = -(-n // FIT_BYTES)
+    """The bounds of even blocks of at most BLOCK bytes of n bytes."""
+    k = -(-n // BLOCK)
     return [(n * j // k, n * (j + 1) // k) for j in range(k)]
 
 
@@ -58,10 +58,9 @@ def _sizes(blocks: list, compressors: list) -> np.ndarray:
 
 
 def _features(sizes: np.ndarray) -> np.ndarray:
-    """The difference per byte (short texts weigh less), the compressed share, and their products."""
+    """1, and the difference per byte; short blocks weigh less."""
     n, good, bad = (sizes[:, k] for k in range(3))
-    difference, share = (bad - good) / (n + 100), np.log((np.minimum(good, bad) + 8) / (n + 16))
-    return np.stack([np.ones(len(n)), difference, share, share**2, np.log(n + 1), difference * share, difference * np.log(n + 1)], 1)
+    return np.stack([np.ones(len(n)), (bad - good) / (n + 100)], 1)
 
 
 def _curve(x: np.ndarray, y: np.ndarray) -> list[float]:
@@ -115,27 +114,38 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
 
+def sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """quality, rank, doc_id, block, text (bytes) of the blocks that the model is fitted on, and the labelled rows that they come
+    from, which are never held out ones."""
+    marked = labels.where(F.col("quality").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    # Blocks are drawn by number, so that of the texts only the drawn ones' bytes move.
+    sized = docs.select("doc_id", F.octet_length("text").cast("long").alias("n")).where("n > 0").distinct().join(marked, "doc_id")
+    k = F.ceil(F.col("n") / BLOCK)
+    blocks = sized.select("*", k.alias("k"), F.explode(F.sequence(F.lit(0).cast("long"), k - 1)).alias("block"))
+    blocks = blocks.withColumn("rank", long_hash(F.concat_ws(":", F.col("doc_id"), F.col("n"), F.col("block")), 11))
+    order = ["rank", "doc_id", "n", "block"]
+    drawn = [blocks.where(F.col("quality") == q).orderBy(order).limit(FIT_BLOCKS) for q in (1, 0)]
+    drawn = F.broadcast(drawn[0].unionByName(drawn[1]).withColumnRenamed("n", "size"))  # at most 2 * FIT_BLOCKS rows
+    raw = docs.select("doc_id", F.encode("text", "UTF-8").alias("raw"))
+    both = raw.join(drawn, "doc_id").where(F.length("raw") == F.col("size"))
+    begin, end = (F.expr(f"size * (block + {i}) div k").cast("int") for i in (0, 1))
+    cut = both.select(*[c for c in drawn.columns], F.substring("raw", begin + 1, end - begin).alias("text"))
+    return cut.groupBy(drawn.columns).agg(F.min("text").alias("text")), marked
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Fits on the labelled rows that are not held out. docs: doc_id, text; labels: doc_id, quality."""
-    marked = labels.where(F.col("quality").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    # The sample is drawn by id, so that of the texts only those of at most 2 * FIT_ROWS ids move.
-    rank = long_hash(F.col("doc_id"), 11)
-    there = marked.join(docs.select("doc_id"), "doc_id", "left_semi").withColumn("rank", rank)
-    drawn = [there.where(F.col("quality") == k).orderBy("rank").limit(FIT_ROWS) for k in (1, 0)]
-    drawn = drawn[0].unionByName(drawn[1])
-    part = F.substring(F.encode("text", "UTF-8"), 1, FIT_BYTES)
-    sample = docs.select("doc_id", part.alias("text")).where(F.length("text") > 0).join(F.broadcast(drawn), "doc_id")
-    sample = sample.groupBy("doc_id", "quality", "rank").agg(F.min("text").alias("text")).collect()
-    sample.sort(key=lambda r: (r["rank"], r.doc_id))
-    sides = [[bytes(r.text) for r in sample if r.quality == k] for k in (1, 0)]
+    drawn, marked = sample(docs, labels)
+    rows = sorted(drawn.collect(), key=lambda r: (r["rank"], r.doc_id, r["size"], r.block))  # at most 2 * FIT_BLOCKS blocks
+    sides = [[bytes(r.text) for r in rows if r.quality == q] for q in (1, 0)]
     shares = {r.quality: r["count"] for r in marked.groupBy("quality").count().collect()}
     model = fit_model(*sides)
     if shares:
         model.prior = shares.get(1, 0) / sum(shares.values())
-        if model.weights:  # the sample holds as many of either class as there are: shift the curve to the true shares
-            drawn = len(sides[0]) / max(len(sides[1]), 1)
+        if model.weights:  # the sample has other shares than the labels: shift the curve to theirs
+            drawn_odds = len(sides[0]) / len(sides[1])
             true = shares.get(1, 0) / max(shares.get(0, 0), 1)
-            model.weights[0] += float(np.log(max(true, 1e-6) / drawn))
+            model.weights[0] += float(np.log(max(true, 1e-6) / drawn_odds))
     return model
 
 
@@ -161,6 +171,7 @@ def op6_quality_classifier(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier does not reject, with all their columns."""
+    """The documents that the classifier does not reject, with all their columns. Without enough labels none is rejected."""
     ship(docs.sparkSession)
-    return docs.where(quality_score(F.col("text"), fit(docs, labels)) >= 0.5)
+    model = fit(docs, labels)
+    return docs.where(quality_score(F.col("text"), model) >= 0.5) if model.weights else docs

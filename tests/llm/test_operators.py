@@ -333,7 +333,7 @@ def test_classifier_long_texts(spark):
 
 def test_classifier_scores_a_long_text_as_its_blocks():
     random.seed(4)
-    say = lambda words: " ".join(random.choices(words, k=1600)).encode()[: quality_classifier.FIT_BYTES]
+    say = lambda words: " ".join(random.choices(words, k=1600)).encode()[: quality_classifier.BLOCK]
     good, bad = ["river", "stone", "house", "walks", "green"], ["click", "stone", "house", "cheap", "green"]
     model = quality_classifier.fit_model([say(good) for _ in range(40)], [say(bad) for _ in range(40)])
     text = say(good + bad)
@@ -341,6 +341,41 @@ def test_classifier_scores_a_long_text_as_its_blocks():
     assert abs(one - many) < 1e-9 and none == model.prior
 
 
+def test_classifier_is_the_plain_one(spark):
+    """The sample drawn, the model and the scores against loops over all labelled texts."""
+    import zlib
+
+    docs, labels = (quality_classifier.table(spark, "/root/testdata/sf0.01", name) for name in ("documents", "labels"))
+    marks = {}
+    for r in labels.where("quality IN (0, 1)").collect():
+        if zlib.crc32(str(r.doc_id).encode()) % 3 != 1:
+            marks[r.doc_id] = min(r.quality, marks.get(r.doc_id, 1))
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    blocks = []
+    for i, q in marks.items():
+        raw = texts.get(i, b"")
+        k = -(-len(raw) // quality_classifier.BLOCK)
+        blocks += [(q, i, len(raw), j, raw[len(raw) * j // k : len(raw) * (j + 1) // k]) for j in range(k)]
+    keyed = spark.createDataFrame([(i, n, j, f"{i}:{n}:{j}") for _, i, n, j, _ in blocks], "doc_id long, n long, block long, k string")
+    rank = {(r.doc_id, r.block): r.h for r in keyed.select("*", F.xxhash64(F.lit(11), "k").alias("h")).collect()}
+    blocks.sort(key=lambda b: (rank[b[1], b[3]], b[1], b[2], b[3]))
+    sides = [[b[4] for b in blocks if b[0] == q][: quality_classifier.FIT_BLOCKS] for q in (1, 0)]
+    model, plain = quality_classifier.fit(docs, labels), quality_classifier.fit_model(*sides)
+    good = sum(marks.values())
+    plain.weights[0] += float(np.log(good / (len(marks) - good) / (len(sides[0]) / len(sides[1]))))
+    assert (model.good, model.bad, model.weights) == (plain.good, plain.bad, plain.weights) and model.prior == good / len(marks)
+    got = {r.doc_id: r.score for r in quality_classifier.op6_quality_classifier(spark, "/root/testdata/sf0.01").collect()}
+    to_good, to_bad = model.compressors()
+    for i in sorted(texts)[:200]:
+        raw = texts[i]
+        k, odds = -(-len(raw) // quality_classifier.BLOCK), 0.0
+        for j in range(k):
+            b = raw[len(raw) * j // k : len(raw) * (j + 1) // k]
+            d = (len(to_bad.compress(b)) - len(to_good.compress(b))) / (len(b) + 100)
+            odds += (model.weights[0] + model.weights[1] * d) * len(b) / len(raw)
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-odds)) if raw else model.prior)
+
+
 def test_classifier_edges(spark, docs, empty, rows):
     labels = spark.createDataFrame([(7, 1), (7, 1), (10, None), (None, 0)], "doc_id long, quality int")
     kept = quality_classifier.keep_good(docs, labels)
