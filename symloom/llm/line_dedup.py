@@ -1,11 +1,16 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-A run is a sorted table of (h1, h2, n_docs): the 128-bit hash of a line key and in how many documents of its batches the
-key is found. Each new batch merge-anti-joins the runs, which tells the keys that the index has never seen, and adds its
-own run at level 0; FAN_OUT runs of a level are merged into one of the next. Runs are Parquet tables in the shared folder.
+A line's key is the line without white space at both ends, A-Z lower-cased; its hash has 128 bits. The index holds each hash
+once, in the run of the batch that had it first: every new batch is merge-anti-joined with the runs, which tells the keys never
+seen before (they make the batch's run) from those known (they make a run of increments). FAN_OUT runs of a level are compacted
+into one of the next, runs of keys by a merge of disjoint keys, runs of increments by a merge that adds. A key's count is what
+its run says plus its increments.
 
-A line's key is the line without white space at both ends, A-Z lower-cased. Empty keys are never counted or dropped.
-Only DataFrame operations are used: text is split and hashed in place, only hashes move until the verdicts come back.
+Runs are tables bucketed and sorted by the hash, one file a bucket, in the shared folder. Batches are dealt once into the same
+buckets; anti-joins, compaction and counting then merge sorted files bucket by bucket, without shuffling or sorting a run.
+
+Empty keys are never counted or dropped. Only DataFrame operations are used: text is split and hashed in place, only hashes
+and line numbers move until the verdicts come back.
 
 Cases: null and empty texts are one empty line; a document counts once for a key, however often it has the line; repeated
 rows are documents of their own; ties cannot arise; an empty table gives an empty result; other columns are left alone.
@@ -13,12 +18,15 @@ rows are documents of their own; ties cannot arise; an empty table gives an empt
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symloom.llm.common import BLANKS, ascii_lower, fresh_name, long_hash, materialize, new_path, remove, table, text_of
 
-FAN_OUT, BATCHES, MIN_DOCS, MIN_CHARS = 3, 4, 10, 1
+FAN_OUT, BATCHES, MIN_DOCS, MIN_CHARS, BUCKET_ROWS = 3, 4, 10, 1, 2_000_000
 KEY = ["h1", "h2"]
 
 
@@ -35,73 +43,112 @@ def split_lines(text: Column) -> Column:
 
 
 class LineRuns:
-    """The levels of sorted runs of one index."""
+    """The levels of sorted runs of one index: keys (each key in one run only) and increments."""
 
-    def __init__(self, spark: SparkSession, fan_out: int = FAN_OUT):
+    def __init__(self, spark: SparkSession, fan_out: int = FAN_OUT, buckets: int | None = None):
         self.spark, self.fan_out = spark, fan_out
-        self.levels: list[list[str]] = []
-
-    def _write(self, keys: DataFrame, level: int) -> None:
-        path = new_path(self.spark, f"line-run{level}")
-        keys.select(*KEY, "n_docs").repartition(*KEY).sortWithinPartitions(*KEY).write.option("compression", "zstd").parquet(path)
-        while len(self.levels) <= level:
-            self.levels.append([])
-        self.levels[level].append(path)
-        if len(self.levels[level]) >= self.fan_out:
-            full, self.levels[level] = self.levels[level], []
-            self._write(self._merged(full), level + 1)
-            for p in full:
-                remove(self.spark, p)
-
-    def _read(self, path: str) -> DataFrame:
-        return self.spark.read.schema("h1 long, h2 long, n_docs long").parquet(path)
-
-    def _merged(self, paths: list[str]) -> DataFrame:
-        runs = self._read(paths[0])
-        for p in paths[1:]:
-            runs = runs.unionByName(self._read(p))
-        return runs.groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"))
-
-    def paths(self) -> list[str]:
-        return [p for level in self.levels for p in level]
-
-    def unseen(self, keys: DataFrame) -> DataFrame:
-        """The keys that no run holds: a sorted merge against each run."""
-        for p in self.paths():
-            keys = keys.join(self._read(p).select(*KEY).hint("merge"), KEY, "left_anti")
-        return keys
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.keys: list[list[str]] = []
+        self.more: list[list[str]] = []
+        self.stale: list[str] = []  # compacted runs, dropped when the next batch comes
+        # A bucket is one sorted file, so its order may be relied on.
+        spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+
+    def _table(self, rows: DataFrame) -> str:
+        name = f"line_run_{uuid.uuid4().hex}"
+        out = rows.select(*KEY, "n_docs").write.bucketBy(self.buckets, *KEY).sortBy(*KEY).format("parquet").option("compression", "zstd")
+        out.option("path", new_path(self.spark, name)).saveAsTable(name)
+        return name
+
+    def _drop(self, name: str) -> None:
+        path = self.spark.sql(f"DESCRIBE TABLE EXTENDED {name}").where("col_name = 'Location'").first()[1]
+        self.spark.sql(f"DROP TABLE {name}")
+        remove(self.spark, path)
+
+    def _put(self, levels: list[list[str]], level: int, name: str) -> None:
+        while len(levels) <= level:
+            levels.append([])
+        levels[level].append(name)
+        if len(levels[level]) >= self.fan_out:
+            full, levels[level] = levels[level], []
+            self._put(levels, level + 1, self._table(self._merged(full, levels is self.more)))
+            self.stale += full
+
+    def _merged(self, names: list[str], add: bool = False) -> DataFrame:
+        """One sorted merge of runs. Runs of keys have no key in common; those of increments are added up."""
+        out = self.spark.table(names[0])
+        for x in names[1:]:
+            other = self.spark.table(x).select(*KEY, F.col("n_docs").alias("other"))
+            n = F.coalesce("n_docs", F.lit(0)) + F.coalesce("other", F.lit(0)) if add else F.coalesce("n_docs", "other")
+            out = out.join(other.hint("merge"), KEY, "full_outer").select(*KEY, n.alias("n_docs"))
+        return out
+
+    def runs(self) -> list[str]:
+        return [x for level in self.keys for x in level]
+
+    def increments(self) -> list[str]:
+        return [x for level in self.more for x in level]
+
+    def unseen(self, batch: DataFrame) -> DataFrame:
+        """The rows of a dealt batch whose key no run holds: a sorted merge against each run."""
+        for x in self.runs():
+            batch = batch.join(self.spark.table(x).select(*KEY).hint("merge"), KEY, "left_anti")
+        return batch
 
     def add(self, keys: DataFrame) -> DataFrame:
-        """Adds a batch (h1, h2, n_docs; a key may come in several rows) and returns the keys that no earlier batch had.
-        The batch's run holds these and increments for the others; compaction sums what is equal."""
-        batch = materialize(keys.groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs")), "line-batch")
-        if not self.paths():
-            self._write(batch, 0)
-            return batch
-        fresh = materialize(self.unseen(batch), "line-fresh")
-        again = batch.join(fresh.select(*KEY).hint("merge"), KEY, "left_anti")
-        self._write(fresh.unionByName(again), 0)
-        return fresh
+        """Adds a batch (h1, h2, n_docs; a key may come in several rows) and returns the keys that no earlier batch had, with
+        their counts in this one."""
+        self._clean()
+        batch = self._table(keys.groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs")).repartition(self.buckets, *KEY))
+        fresh = self._table(self.unseen(self.spark.table(batch)))
+        if self.runs():
+            known = self.spark.table(batch).join(self.spark.table(fresh).select(*KEY).hint("merge"), KEY, "left_anti")
+            self._put(self.more, 0, self._table(known))
+        out = self.spark.table(fresh)
+        self._drop(batch)
+        self._put(self.keys, 0, fresh)
+        return out
 
     def counts(self) -> DataFrame:
-        """h1, h2, n_docs over all runs."""
-        return self._merged(self.paths())
-
-
-def keys_of(texts: DataFrame, text: Column, min_chars: int = MIN_CHARS) -> DataFrame:
-    """A row for each text and distinct key of it, with the columns of texts."""
-    keys = F.array_distinct(F.transform(split_lines(text), line_key))
-    keys = F.filter(keys, lambda k: F.length(k) >= min_chars)
-    return texts.select("*", F.explode(F.transform(keys, key_hash)).alias("_k")).select("*", "_k.h1", "_k.h2").drop("_k")
+        """h1, h2, n_docs of all keys: every run with the increments of its keys."""
+        out = []
+        for x in self.runs():
+            rows = self.spark.table(x)
+            for y in self.increments():
+                other = self.spark.table(y).select(*KEY, F.col("n_docs").alias("other"))
+                rows = rows.join(other.hint("merge"), KEY, "left").select(*KEY, (F.col("n_docs") + F.coalesce("other", F.lit(0))).alias("n_docs"))
+            out.append(rows)
+        return reduce(DataFrame.unionByName, out)
+
+    def _clean(self) -> None:
+        while self.stale:
+            self._drop(self.stale.pop())
+
+    def close(self) -> None:
+        """Drops all runs."""
+        self.stale += self.runs() + self.increments()
+        self.keys, self.more = [], []
+        self._clean()
+
+
+def lines_of(texts: DataFrame, text: Column, min_chars: int = MIN_CHARS) -> DataFrame:
+    """A row for each line whose key has min_chars characters: the columns of texts, at (the line's number), h1, h2."""
+    keyed = F.transform(split_lines(text), lambda x, i: F.struct(line_key(x).alias("k"), i.alias("at")))
+    keyed = F.filter(keyed, lambda x: F.length(x["k"]) >= min_chars)
+    hashed = F.transform(keyed, lambda x: F.struct(x["at"].alias("at"), key_hash(x["k"]).alias("h")))
+    return texts.select(*texts.columns, F.explode(hashed).alias("_k")).select(*texts.columns, "_k.at", "_k.h.h1", "_k.h.h2")
 
 
 def index(docs: DataFrame, batches: int = BATCHES) -> tuple[LineRuns, DataFrame]:
-    """The runs of all documents, added batch after batch, and the keys of each distinct text (t1, t2, h1, h2)."""
-    t = text_of()
+    """The runs of all documents, added batch after batch, and the keys of each distinct text: t1, t2, h1, h2, lines (their
+    numbers), n (documents that have the text)."""
+    spark, t = docs.sparkSession, text_of()
     named = docs.select(long_hash(t, 3).alias("t1"), long_hash(t, 4).alias("t2"), t.alias("text"))
-    rows = keys_of(named, F.col("text")).groupBy("t1", "t2", *KEY).agg(F.count(F.lit(1)).alias("n"))
-    rows = materialize(rows, "line-keys")
-    runs = LineRuns(docs.sparkSession)
+    rows = lines_of(named, F.col("text")).groupBy("t1", "t2", *KEY).agg(F.collect_set("at").alias("lines"), F.count(F.lit(1)).alias("c"))
+    # Every copy of a text has the key in the same lines.
+    rows = materialize(rows.select("t1", "t2", *KEY, "lines", (F.col("c") / F.size("lines")).cast("long").alias("n")), "line-keys")
+    wide = -(-rows.count() // BUCKET_ROWS)
+    runs = LineRuns(spark, buckets=max(int(spark.conf.get("spark.sql.shuffle.partitions")), wide))
     for b in range(batches):
         batch = rows.where(F.pmod("t2", F.lit(batches)) == b)
         runs.add(batch.select(*KEY, F.col("n").alias("n_docs")))
@@ -109,11 +156,12 @@ def index(docs: DataFrame, batches: int = BATCHES) -> tuple[LineRuns, DataFrame]
 
 
 def flags(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
-    """t1, t2, bad: the keys found in at least min_docs documents, for each distinct text that has some."""
+    """t1, t2, bad: the numbers of the lines whose keys at least min_docs documents have, for each distinct text with some."""
     runs, rows = index(docs, batches)
     # A written table, so that a very frequent key on the other side can be split among tasks.
     often = materialize(runs.counts().where(F.col("n_docs") >= min_docs).select(*KEY), "line-often")
-    return rows.join(often, KEY).groupBy("t1", "t2").agg(F.collect_list(F.struct(*KEY)).alias("bad"))
+    runs.close()
+    return rows.join(often, KEY).groupBy("t1", "t2").agg(F.flatten(F.collect_list("lines")).alias("bad"))
 
 
 def drop_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
@@ -124,8 +172,9 @@ def drop_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, ba
     found = materialize(flags(docs.select(F.col(text).alias("text")), min_docs, batches), "line-flags").toDF(t1, t2, bad)
     both = docs.withColumns({t1: long_hash(t, 3), t2: long_hash(t, 4)}).join(found, [t1, t2], "left")
     split = split_lines(t)
-    stay = F.filter(split, lambda x: ~F.array_contains(F.col(bad), key_hash(line_key(x))))
-    kept = F.when(F.col(bad).isNull(), split).otherwise(stay)
+    # Numbers that stay, by hashing: as many steps as the text has lines.
+    stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(bad))
+    kept = F.when(F.col(bad).isNull(), split).otherwise(F.transform(stay, lambda i: F.get(split, i)))
     return both.select(*[F.col(f"`{c}`") for c in docs.columns], split.alias(fresh_name(docs, "lines")), kept.alias(fresh_name(docs, "kept")))
 
 

@@ -299,14 +299,40 @@ def test_line_stage_keeps_columns(docs, empty):
     assert line_dedup.without_lines(empty).count() == 0
 
 
+def line_batch(spark, *ks):
+    return spark.createDataFrame([(k, -k, 1) for k in ks], "h1 long, h2 long, n_docs long")
+
+
 def test_line_runs_find_what_is_new(spark):
     runs = line_dedup.LineRuns(spark, fan_out=2)
-    batch = lambda *ks: spark.createDataFrame([(k, -k, 1) for k in ks], "h1 long, h2 long, n_docs long")
+    batch = lambda *ks: line_batch(spark, *ks)
     assert by(runs.add(batch(1, 2, 2)), "h1", "n_docs") == [(1, 1), (2, 2)]
     assert by(runs.add(batch(2, 3)), "h1") == [(3,)]
-    assert by(runs.add(batch(1, 4)), "h1") == [(4,)]
-    assert len(runs.levels[1]) == 1 and len(runs.levels[0]) == 1
-    assert by(runs.counts(), "h1", "n_docs") == [(1, 2), (2, 3), (3, 1), (4, 1)]
+    assert by(runs.add(batch(1, 4, 2, 2)), "h1") == [(4,)]
+    assert len(runs.keys[1]) == 1 and len(runs.keys[0]) == 1 and len(runs.more[1]) == 1
+    held = sorted(r.h1 for x in runs.runs() for r in spark.table(x).collect())
+    assert held == [1, 2, 3, 4]  # each key in one run
+    assert by(runs.counts(), "h1", "n_docs") == [(1, 2), (2, 5), (3, 1), (4, 1)]
+    runs.close()
+
+
+@pytest.mark.parametrize("broken", [lambda self, batch: batch, lambda self, batch: batch.limit(0)])
+def test_line_counts_rest_on_the_anti_join(spark, docs, rows, monkeypatch, broken):
+    monkeypatch.setattr(line_dedup.LineRuns, "unseen", broken)
+    out = line_dedup.drop_lines(docs)
+    lines, kept = out.columns[-2:]
+    got = by(out.select("doc_id", F.size(lines).alias("n"), (F.size(lines) - F.size(kept)).alias("d")), "doc_id", "n", "d")
+    assert got != sorted((r[:3] for r in cases.line_drops(rows, 10)), key=str)
+
+
+def test_line_runs_are_not_shuffled(spark):
+    runs = line_dedup.LineRuns(spark)
+    for k in range(4):
+        runs.add(line_batch(spark, k, k + 1, k + 2))
+    for rows in (runs.unseen(spark.table(runs.runs()[0])), runs.counts(), runs._merged(runs.runs())):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+    runs.close()
 
 
 # ---- quality ----
