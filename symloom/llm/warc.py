@@ -1,17 +1,20 @@
 """WARC archives: a deterministic sharded writer and a reader.
 
-Pages are dealt into shards of ids in ascending order and sorted there. A shard's task regenerates headers and digests,
-compresses each record by itself and rolls files by compressed size. Files are written under temporary names and renamed;
-names and contents depend on the pages alone, so a task that runs again puts the same files. The manifest, written after
-all shards, lists the files with records, bytes and digests, and the reader opens what the manifest lists.
+Records are range-sorted by (page_id, payload digest, url). The ranges, shards, end at rows that a hash of these picks with odds in
+proportion to their bytes, so that shards hold about SHARD_BYTES, or 1/SHARDS of all bytes where that is more: the cuts depend on the
+pages alone, not on settings, and pages of one id (or none) split by their payloads. A shard's task regenerates headers and digests,
+compresses each record by itself and rolls files by compressed size. Files are written under temporary names and renamed; a task that
+runs again puts the same files. The manifest, written after all shards, lists the files with records, bytes and digests, and the
+reader opens what the manifest lists.
 
 Of records with equal payloads of at least MIN_REVISIT bytes, that of the least page_id is a response, the others are
 revisits that refer to it; smaller ones are all responses.
 
 Cases: a null html is an empty payload, a null url a urn of the page's id; line breaks in urls are percent-encoded; pages
 without an id stand at the end and are written with an empty id, which is read as null; of rows with equal page_id and
-payload the first (by url) is the response; a page_id with different payloads has a record for each; an empty table gives
-an empty manifest and an empty result; other columns are left alone; very long payloads are a record each.
+payload the first (by url, nulls last) is the response; equal rows stay in one shard, the first is the response; a page_id with
+different payloads has a record for each; an empty table gives an empty manifest and an empty result; other columns are left alone;
+very long payloads are a record each.
 """
 
 from __future__ import annotations
@@ -20,14 +23,19 @@ import hashlib
 import uuid
 import zlib
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import arrow_udf
 
 from symloom.llm.chunks import Store
-from symloom.llm.common import materialize, new_path, ship, table
+from symloom.llm.common import begin, materialize, new_path, ship, table
 
-ROLL_BYTES, SHARD_BYTES, MIN_REVISIT, BINS, LEVEL = 1 << 26, 1 << 25, 100, 8192, 4
+#: A shard's bytes before compression, the most shards, candidates for cuts in a shard, bytes of a file after compression (at most; a
+#: file also holds no more than 1/FILES of a shard's bytes, so that shards of any size have a few).
+SHARD_BYTES, SHARDS, CANDIDATES, ROLL_BYTES, FILES = 1 << 23, 1 << 15, 4, 1 << 26, 16
+MIN_REVISIT, LEVEL = 100, 4
 DATE, PROFILE = "2024-01-01T00:00:00Z", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "shard int, file string, records long, bytes long, sha256 string"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -92,78 +100,86 @@ def members(data):
         yield raw
 
 
-def _shards(sizes: DataFrame):
-    """The bin of a page, the shard of each bin and the number of shards, from page_id and bytes: a histogram of at most BINS bins of ids, cut where
-    SHARD_BYTES are reached."""
-    low, high = sizes.agg(F.min("page_id"), F.max("page_id")).first()
-    low, width = low or 0, max(1, -(-((high or 0) - (low or 0) + 1) // BINS))
-    of = F.coalesce(F.floor((F.col("page_id") - low) / width), F.lit(BINS)).cast("int")
-    bins = sorted(tuple(r) for r in sizes.groupBy(of.alias("bin")).agg(F.sum("bytes")).collect())  # at most BINS + 1 rows
-    spark, shard, held, out = sizes.sparkSession, 0, 0, []
-    least = max(1, sum(b for _, b in bins) // int(spark.conf.get("spark.sql.shuffle.partitions")))
-    for b, size in bins:
-        if held and held + size > min(SHARD_BYTES, least):
-            shard, held = shard + 1, 0
-        held += size
-        out.append((b, shard))
-    return of, spark.createDataFrame(out, "bin int, shard int"), shard + 1
-
-
-def write_warc(pages: DataFrame, uri: str, roll: int = ROLL_BYTES) -> DataFrame:
+def _key(page: Column, digest: Column, url: Column) -> Column:
+    """Text whose order is that of (page_id, nulls last; digest; a hash of the url)."""
+    number = F.coalesce(F.lpad(F.hex(page.bitwiseXOR(F.lit(-(2**63)))), 16, "0"), F.lit("G" * 16))
+    return F.concat(number, F.substring(digest, 1, 24), F.lpad(F.hex(F.xxhash64(url)), 16, "0"))
+
+
+def _cuts(meta: DataFrame, shard_bytes: int) -> list[str]:
+    """The least key of each shard but the first, from key and bytes of the records: every CANDIDATES-th of the rows that a
+    hash picks. At most about SHARDS * CANDIDATES rows come to the driver."""
+    total = meta.agg(F.sum("bytes")).first()[0] or 0
+    step = max(shard_bytes, total // SHARDS) / CANDIDATES
+    odds = (F.conv(F.substring(F.md5("key"), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
+    picked = sorted(r[0] for r in meta.where(odds * step < F.col("bytes")).select("key").distinct().collect())
+    return picked[CANDIDATES::CANDIDATES]
+
+
+def write_warc(pages: DataFrame, uri: str, roll: int = ROLL_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Writes pages (page_id, url, html) into archives below uri and returns the manifest, which is at uri/manifest too."""
     spark = pages.sparkSession
     ship(spark)
-    slim = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    meta = materialize(slim.select("page_id", F.octet_length("html").cast("long").alias("bytes"), F.sha2(F.encode("html", "UTF-8"), 256).alias("digest")), "warc-meta")
-    lead = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id")).alias("m")
-    groups = meta.where(F.col("bytes") >= MIN_REVISIT).groupBy("digest").agg(lead, F.count(F.lit(1)).alias("c")).where("c > 1")
-    groups = groups.select("digest", F.col("m.page_id").alias("lead"))
-    revisits = meta.select("page_id", "digest").join(groups, "digest").distinct()
-    bin_of, shards, n = _shards(meta)
-    notes = revisits.select("page_id", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "lead")
-    notes = materialize(notes, "warc-revisits")
-    bodies = slim.select("page_id", F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("lead"))
-    rows = bodies.unionByName(notes).withColumn("bin", bin_of).join(F.broadcast(shards), "bin")  # at most BINS + 1 rows
-    rows = rows.repartitionById(n, F.col("shard")).sortWithinPartitions(F.col("page_id").asc_nulls_last(), "kind", F.col("url").asc_nulls_last())
+    html = F.coalesce("html", F.lit(""))
+    digest = F.sha2(F.encode(html, "UTF-8"), 256)
+    slim = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), digest.alias("digest"))
+    slim = slim.withColumn("key", _key(F.col("page_id"), F.col("digest"), F.col("url")))
+    size = F.octet_length("html").cast("long") + 500  # a record's headers
+    meta = materialize(slim.select("page_id", "url", F.octet_length("html").alias("payload"), size.alias("bytes"), "digest", "key"), "warc-meta")
+    order = [F.col("page_id").isNull().alias("no_page"), "page_id", F.col("url").isNull().alias("no_url"), "url"]
+    lead = F.min(F.struct(*order)).alias("m")
+    groups = meta.where(F.col("payload") >= MIN_REVISIT).groupBy("digest").agg(lead, F.count(F.lit(1)).alias("c")).where("c > 1")
+    groups = materialize(groups.select("digest", "m"), "warc-groups")  # a written table, so that a hot payload's rows can be split
+    cuts = np.array(_cuts(meta, shard_bytes), "U56")
+    roll = max(1, min(roll, max(shard_bytes, (meta.agg(F.sum("bytes")).first()[0] or 0) // SHARDS) // FILES))
+
+    @arrow_udf("int")
+    def shard_of(key: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(cuts, np.array(key.to_pylist(), "U56"), "right"), pa.int32())
+
+    same = F.col("page_id").eqNullSafe(F.col("m.page_id")) & F.col("url").eqNullSafe(F.col("m.url"))
+    notes = meta.join(groups, "digest").select("key", "page_id", "url", F.col("m.page_id").alias("lead"), same.alias("first")).distinct()
+    none = {"lead": F.lit(None).cast("long"), "first": F.lit(None).cast("boolean"), "html": F.lit(None).cast("string")}
+    columns = ["key", "page_id", "url", "html", "lead", "first"]
+    bodies = slim.withColumns({k: none[k] for k in ("lead", "first")}).select(F.lit(1).alias("kind"), *columns)
+    rows = materialize(notes.withColumn("html", none["html"]).select(F.lit(0).alias("kind"), *columns), "warc-notes").unionByName(bodies)
+    rows = rows.withColumn("shard", shard_of("key")).repartitionById(len(cuts) + 1, F.col("shard"))
+    rows = rows.sortWithinPartitions("key", F.col("page_id").asc_nulls_last(), F.col("url").asc_nulls_last(), "kind")
 
     def write(batches):
-        store, out, counts, seq, shard = Store(uri), [], 0, 0, None
-        files, page, leads, told = [], object(), {}, set()
+        begin("warc")
+        store, out, seq, size = Store(uri), [], 0, 0
+        files, note, told = [], None, False
 
         def close() -> None:
-            nonlocal out, counts, seq
+            nonlocal out, seq, size
             if out:
-                data = b"".join(out)
-                name = f"shard-{shard:06d}-{seq:05d}.warc.gz"
-                store.put(name, lambda stream: stream.write(data))
-                files.append((shard, name, counts, len(data), hashlib.sha256(data).hexdigest()))
-                out, counts, seq = [], 0, seq + 1
-
-        size = 0
+                name, held = f"shard-{shard:06d}-{seq:05d}.warc.gz", hashlib.sha256()
+                for raw in out:
+                    held.update(raw)
+                store.put(name, lambda stream: [stream.write(raw) for raw in out])
+                files.append((shard, name, len(out), size, held.hexdigest()))
+                out, seq, size = [], seq + 1, 0
+
+        shard = 0
         for batch in batches:
-            for x, kind, url, html, digest, to, shard in zip(*(batch.column(c).to_pylist() for c in ("page_id", "kind", "url", "html", "digest", "lead", "shard"))):
-                if x != page:
-                    page, leads, told = x, {}, set()
-                if kind == 0:
-                    leads[digest] = to
+            for shard, kind, key, page, url, html, lead, first in zip(*(batch.column(c).to_pylist() for c in ("shard", "kind", *columns))):
+                if kind == 0:  # stands before the records of its page, payload and url
+                    note, told = (key, page, url, lead, first), False
                     continue
-                payload = html.encode()
-                key = hashlib.sha256(payload).hexdigest()
-                revisit = key in leads and (leads[key] != x or key in told)
-                told.add(key)
-                raw = member(record(x, url, payload, leads.get(key), revisit))
+                again = note is not None and note[:3] == (key, page, url)
+                raw = member(record(page, url, html.encode(), note[3] if again else None, again and (told or not note[4])))
+                told = again
                 if size and size + len(raw) > roll:
                     close()
-                    size = 0
                 out.append(raw)
-                counts, size = counts + 1, size + len(raw)
+                size += len(raw)
         close()
-        columns = list(zip(*files)) or [[]] * 5
+        named = list(zip(*files)) or [[]] * 5
         kinds = (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["shard", "file", "records", "bytes", "sha256"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(named, kinds)], names=["shard", "file", "records", "bytes", "sha256"])
 
-    cols = ["page_id", "kind", "url", "html", "digest", "lead", "shard"]
-    rows.select(cols).mapInArrow(write, MANIFEST).write.json(f"{uri}/manifest")
+    rows.select("shard", "kind", *columns).mapInArrow(write, MANIFEST).write.json(f"{uri}/manifest")
     return spark.read.schema(MANIFEST).json(f"{uri}/manifest")
 
 

@@ -269,6 +269,27 @@ def test_warc(spark):
     assert by(again, "file", "sha256") == by(manifest, "file", "sha256")
 
 
+def test_warc_cuts_depend_on_the_pages_alone(spark):
+    rng = random.Random(3)
+    rows = [(i, f"http://h/{i}", "".join(rng.choices("abc <>", k=rng.randrange(50, 900)))) for i in range(400)]
+    rows += [(None, f"u{i}", f"page {i} " * 40) for i in range(200)] + [(7, f"v{i}", f"other {i} " * 40) for i in range(200)] + [(1 << 60, "far", "x" * 500)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    for setting, parts in (("8", 2), ("24", 5)):
+        spark.conf.set("spark.sql.shuffle.partitions", setting)
+        uri = new_path(spark, "warc-test")
+        manifest = warc.write_warc(pages.repartition(parts), uri, shard_bytes=20000)
+        found.append(by(manifest, "file", "records", "sha256"))
+        assert warc.read_warc(spark, uri).count() == len(rows)
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1]
+    records = Counter()
+    for file, n, _ in found[0]:
+        records[file[:12]] += n
+    assert len(records) > 10 and max(records.values()) < len(rows) / 4  # neither the far id, nor one id, nor none is a shard's load
+    assert len(found[0]) > 2 * len(records)  # files roll by compressed size
+
+
 def test_warc_damage_is_seen():
     raw = warc.record(1, "u", b"x" * 200, None, False)
     assert warc.parse(raw)[0] == 1
