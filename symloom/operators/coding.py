@@ -1,23 +1,42 @@
-"""Lossless archives of byte sequences: adaptive counts, integer ranges, a 32-bit arithmetic coder, a Rice-coded vocabulary.
+"""Lossless archives of byte sequences, coded by the mixed context model.
 
-Encoder and decoder call the same integer functions, so an archive is read back on any machine. One sequence is one unit
-of work. An archive holds everything that decoding needs: magic, sizes, preprocessing, vocabulary, payload."""
+A sequence is cut into blocks of at most BLOCK bytes, and blocks are coded side by side, one lane each, so that numpy works on
+one symbol of all lanes at a time and a long sequence splits. For each symbol the model mixes, as the code-length operators do, the
+counts of the symbols so far with those that followed the last one and the last two: the logits add up, so their exponentials
+multiply. The products become integer ranges with a sum of 2^16, which a 32-bit range coder narrows.
+
+Encoder and decoder use the same integer tables and integer arithmetic, so an archive is read back on any machine. An archive
+holds everything that decoding needs: magic, sizes, preprocessing and its metadata, vocabularies, payloads.
+
+Preprocessing of a block: none; reverse; bwt (the last column of the sorted rotations, and the row of the block itself); extbpe
+(the most frequent adjacent pair becomes a new symbol, as long as it is found MERGE_LEAST times, at most MERGES times)."""
 
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from symloom.session import ship
 
-#: The header of an archive: magic, bytes, symbols, kinds, bytes of the vocabulary, preprocessing.
-HEADER = struct.Struct("<4sQQIIB")
-MAGIC = b"SYM1"
-MODES = ("none", "reverse")
-TOP, HALF, QUARTER = (1 << 32) - 1, 1 << 31, 1 << 30
+#: The header of an archive (magic, bytes, blocks, preprocessing) and of a block (symbols, kinds, bytes of the
+#: vocabulary, bytes of the payload, first row of the transform, merges).
+HEADER, BLOCK_HEADER = struct.Struct("<4sQIB"), struct.Struct("<IHHIIH")
+MAGIC = b"SYM2"
+MODES = ("none", "reverse", "bwt", "extbpe")
+#: Bytes of a block, lanes coded side by side, slots of the two-symbol contexts of a lane.
+BLOCK, LANES, SLOTS = 4096, 256, 1024
+#: The least count of a pair that is merged, and the most merges of a block.
+MERGE_LEAST, MERGES = 50, 100
+#: Exponents and smoothing of the mix: a symbol's own count, then contexts of one and of two symbols. A count stops at CAP.
+PRIOR_WEIGHT, WEIGHTS, CAP = 0.75, ((0.75, 0.3), (0.8, 0.15)), 255
+TOTAL, MASK, LOW, HIGH = 1 << 16, (1 << 32) - 1, 1 << 16, 1 << 24
+#: Stands for the symbols before a block; a lane's model must not depend on the lanes beside it.
+START = 4095
 
 
 class Bits:
@@ -86,115 +105,295 @@ def rice_unpack(data: bytes, count: int) -> list[int]:
     return out
 
 
-class Model:
-    """Integer frequencies of the kinds of symbols seen so far; halved when their sum grows too large for the coder."""
-
-    def __init__(self, kinds: int):
-        self.freq, self.total = np.ones(kinds, np.int64), kinds
-
-    def range(self, s: int) -> tuple[int, int]:
-        lo = int(self.freq[:s].sum())
-        return lo, lo + int(self.freq[s])
-
-    def find(self, v: int) -> int:
-        return int(np.searchsorted(np.cumsum(self.freq), v, "right"))
-
-    def update(self, s: int) -> None:
-        self.freq[s] += 24
-        self.total += 24
-        if self.total > 1 << 16:
-            self.freq = (self.freq + 1) >> 1
-            self.total = int(self.freq.sum())
-
-
-def encode(symbols: list[int], kinds: int) -> bytes:
-    model, bits, lo, hi, pending = Model(kinds), Bits(), 0, TOP, 0
-
-    def out(bit: int) -> None:
-        nonlocal pending
-        bits.put(bit)
-        for _ in range(pending):
-            bits.put(1 - bit)
-        pending = 0
-
-    for s in symbols:
-        a, b = model.range(s)
-        span = hi - lo + 1
-        lo, hi = lo + span * a // model.total, lo + span * b // model.total - 1
-        while True:
-            if hi < HALF:
-                out(0)
-            elif lo >= HALF:
-                out(1)
-                lo, hi = lo - HALF, hi - HALF
-            elif lo >= QUARTER and hi < 3 * QUARTER:
-                pending += 1
-                lo, hi = lo - QUARTER, hi - QUARTER
-            else:
-                break
-            lo, hi = lo << 1, hi << 1 | 1
-        model.update(s)
-    pending += 1
-    out(int(lo >= QUARTER))
-    return bits.done()
-
-
-def decode(data: bytes, n: int, kinds: int) -> list[int]:
-    model, bits, lo, hi, out = Model(kinds), Reader(data), 0, TOP, []
-    value = 0
-    for _ in range(32):
-        value = value << 1 | bits.get()
-    for _ in range(n):
-        span = hi - lo + 1
-        s = model.find(((value - lo + 1) * model.total - 1) // span)
-        a, b = model.range(s)
-        lo, hi = lo + span * a // model.total, lo + span * b // model.total - 1
-        while True:
-            if hi < HALF:
-                pass
-            elif lo >= HALF:
-                lo, hi, value = lo - HALF, hi - HALF, value - HALF
-            elif lo >= QUARTER and hi < 3 * QUARTER:
-                lo, hi, value = lo - QUARTER, hi - QUARTER, value - QUARTER
-            else:
-                break
-            lo, hi, value = lo << 1, hi << 1 | 1, value << 1 | bits.get()
-        out.append(s)
-        model.update(s)
-    return out
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What a count of 0..CAP contributes in each of the three places, as integers of at most 14 bits."""
+    n = np.arange(CAP + 1)
+    parts = [(n + 0.4) ** PRIOR_WEIGHT] + [(1 + n / alpha) ** weight for weight, alpha in WEIGHTS]
+    return tuple(np.maximum(np.rint(p * (16383 / p[-1])), 1).astype(np.int64) for p in parts)
+
+
+class Lanes:
+    """The models of some lanes: how often each symbol came, and came after each context."""
+
+    def __init__(self, lanes: int, kinds: int, own: np.ndarray):
+        self.kinds = kinds
+        self.known = np.arange(kinds) < own[:, None]
+        self.counts = np.zeros((lanes, kinds), np.uint8)
+        self.one = np.zeros((lanes, kinds + 1, kinds), np.uint8)
+        self.two = np.zeros((lanes, SLOTS, kinds), np.uint8)
+        self.a = np.full(lanes, START, np.int64)
+        self.b = np.full(lanes, START, np.int64)
+        self.each = np.arange(lanes)
+        self.tables = _tables()
+
+    def _slot(self, m: int) -> np.ndarray:
+        return (self.b[:m] * 7919 + self.a[:m] * 104729 + 1000003 >> 3) % SLOTS
+
+    def ranges(self, m: int) -> np.ndarray:
+        """The ends of the integer ranges of all symbols, of the first m lanes; the last one is TOTAL."""
+        each = self.each[:m]
+        f = self.tables[0][self.counts[:m]]
+        f *= self.tables[1][self.one[each, np.minimum(self.a[:m], self.kinds)]]
+        f *= self.tables[2][self.two[each, self._slot(m)]]
+        f >>= 10
+        f *= self.known[:m]
+        most = TOTAL - self.known[:m].sum(1)  # every known symbol has a unit besides
+        f = f * most[:, None] // np.maximum(f.sum(1), 1)[:, None] + self.known[:m]
+        ends = np.cumsum(f, 1)
+        ends[:, -1] = TOTAL  # the last place takes what rounding left over
+        return ends
+
+    def learn(self, m: int, symbols: np.ndarray) -> None:
+        each = self.each[:m]
+        for table, index in ((self.counts, (each, symbols)), (self.one, (each, np.minimum(self.a[:m], self.kinds), symbols)), (self.two, (each, self._slot(m), symbols))):
+            held = table[index]
+            table[index] = held + (held < CAP)
+        self.b[:m], self.a[:m] = self.a[:m], symbols
+
+
+def _narrowing(low: np.ndarray, width: np.ndarray) -> Iterator[np.ndarray]:
+    """The lanes that shift a byte out, until none does; low and width are changed in place."""
+    while True:
+        settled = ((low ^ (low + width & MASK)) & MASK) < HIGH
+        small = ~settled & (width < LOW)
+        width[small] = -low[small] & (LOW - 1)
+        at = np.flatnonzero(settled | small)
+        if not len(at):
+            return
+        yield at
+        low[at] = low[at] << 8 & MASK
+        width[at] = width[at] << 8 & MASK
+
+
+def encode_lanes(blocks: list[np.ndarray], kinds: np.ndarray) -> list[bytes]:
+    """The payloads of blocks of symbols 0..kinds-1, longest first."""
+    size = np.array([len(x) for x in blocks])
+    n, lanes = int(size[0]), len(blocks)
+    symbols = np.zeros((n, lanes), np.int64)
+    for i, x in enumerate(blocks):
+        symbols[: len(x), i] = x
+    model, cap = Lanes(lanes, int(kinds.max()) + 1, kinds), 2 * n + 64
+    out, used = np.zeros((lanes, cap), np.uint8), np.zeros(lanes, np.int64)
+    low, width = np.zeros(lanes, np.int64), np.full(lanes, MASK, np.int64)
+    active = np.searchsorted(-size, -np.arange(1, n + 1), "right")
+    for t in range(n):
+        m = int(active[t])
+        ends, s, each = model.ranges(m), symbols[t, :m], model.each[:m]
+        begin = np.where(s > 0, ends[each, s - 1], 0)
+        unit = width[:m] // TOTAL
+        low[:m] = low[:m] + unit * begin & MASK
+        width[:m] = unit * (ends[each, s] - begin)
+        for at in _narrowing(low[:m], width[:m]):
+            out[at, used[at]] = low[at] >> 24
+            used[at] += 1
+        model.learn(m, s)
+    for k in (24, 16, 8, 0):
+        out[model.each, used] = low >> k & 255
+        used += 1
+    return [out[i, : used[i]].tobytes() for i in range(lanes)]
+
+
+def decode_lanes(payloads: list[bytes], size: np.ndarray, kinds: np.ndarray) -> list[np.ndarray]:
+    """The blocks' symbols, longest first."""
+    n, lanes = int(size[0]), len(payloads)
+    data = np.zeros((lanes, max(map(len, payloads)) + 8), np.int64)
+    for i, x in enumerate(payloads):
+        data[i, : len(x)] = np.frombuffer(x, np.uint8)
+    model, symbols = Lanes(lanes, int(kinds.max()) + 1, kinds), np.zeros((n, lanes), np.int64)
+    low, width = np.zeros(lanes, np.int64), np.full(lanes, MASK, np.int64)
+    code, read = data[:, 0] << 24 | data[:, 1] << 16 | data[:, 2] << 8 | data[:, 3], np.full(lanes, 4)
+    active = np.searchsorted(-size, -np.arange(1, n + 1), "right")
+    for t in range(n):
+        m = int(active[t])
+        ends, each = model.ranges(m), model.each[:m]
+        unit = width[:m] // TOTAL
+        value = np.minimum((code[:m] - low[:m] & MASK) // unit, TOTAL - 1)
+        s = (ends <= value[:, None]).sum(1)
+        begin = np.where(s > 0, ends[each, s - 1], 0)
+        low[:m] = low[:m] + unit * begin & MASK
+        width[:m] = unit * (ends[each, s] - begin)
+        for at in _narrowing(low[:m], width[:m]):
+            code[at] = (code[at] << 8 & MASK) | data[at, read[at]]
+            read[at] += 1
+        symbols[t, :m] = s
+        model.learn(m, s)
+    return [symbols[: size[i], i] for i in range(lanes)]
+
+
+def rotations(x: np.ndarray) -> np.ndarray:
+    """The sorted rotations' first positions, by doubling; equal rotations in order of position."""
+    n, h = len(x), 1
+    rank = np.unique(x, return_inverse=True)[1].astype(np.int64)
+    order = np.argsort(rank, kind="stable")
+    while h < n and rank.max() < n - 1:
+        key = rank * (n + 1) + np.roll(rank, -h)
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        rank[order] = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
+        h *= 2
+    return order
+
+
+def unrotated(last: np.ndarray, first: int) -> np.ndarray:
+    """The block from the last column of its sorted rotations and the block's own row."""
+    lf = np.empty(len(last), np.int64)
+    lf[np.argsort(last, kind="stable")] = np.arange(len(last))
+    back, at, out = lf.tolist(), first, []
+    for _ in range(len(last)):
+        out.append(at)
+        at = back[at]
+    return last[np.array(out[::-1], np.int64)]
+
+
+def merged(x: np.ndarray, least: int = MERGE_LEAST, most: int = MERGES) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """x with the most frequent adjacent pair made a new symbol (256, 257 ...), again and again, and the pairs. Of equally
+    frequent pairs that whose count was complete first is taken; overlapping ones are replaced from the left."""
+    pairs: list[tuple[int, int]] = []
+    while len(x) > 1 and len(pairs) < most:
+        key = x[:-1] * 65536 + x[1:]
+        kinds, place, count = np.unique(key, return_inverse=True, return_counts=True)
+        if count.max() < least:
+            break
+        last = np.zeros(len(kinds), np.int64)
+        last[place] = np.arange(len(key))  # of equal places the last one is kept
+        best = np.flatnonzero(count == count.max())
+        best = best[last[best].argmin()]
+        a, b = divmod(int(kinds[best]), 65536)
+        at = np.flatnonzero(place == best)
+        if a == b:  # every second one of a run
+            run = np.concatenate([[0], np.cumsum(np.diff(at) != 1)])
+            at = at[(at - at[np.searchsorted(run, run)]) % 2 == 0]
+        x = x.copy()
+        x[at] = 256 + len(pairs)
+        x = np.delete(x, at + 1)
+        pairs.append((a, b))
+    return x, pairs
+
+
+def unmerged(x: np.ndarray, pairs: list[tuple[int, int]]) -> np.ndarray:
+    for k in range(len(pairs) - 1, -1, -1):
+        at = np.flatnonzero(x == 256 + k)
+        x = np.insert(x, at + 1, pairs[k][1])
+        x[at + np.arange(len(at))] = pairs[k][0]
+    return x
+
+
+def _prepared(block: bytes, mode: str) -> tuple[np.ndarray, int, list[tuple[int, int]]]:
+    """Symbols, first row, merges of a block."""
+    x = np.frombuffer(block, np.uint8).astype(np.int64)
+    if mode == "reverse":
+        return x[::-1], 0, []
+    if mode == "bwt":
+        order = rotations(x)
+        return x[order - 1], int(np.flatnonzero(order == 0)[0]), []
+    if mode == "extbpe":
+        x, pairs = merged(x)
+        return x, 0, pairs
+    return x, 0, []
+
+
+def compress_many(rows: list[bytes], mode: str | list[str] = "none") -> list[bytes]:
+    """The archive of each row. mode: one for all, or one for each."""
+    modes = [mode] * len(rows) if isinstance(mode, str) else mode
+    blocks, owner = [], []
+    for r, data in enumerate(rows):
+        for i in range(0, len(data), BLOCK):
+            blocks.append(_prepared(data[i : i + BLOCK], modes[r]))
+            owner.append(r)
+    parts: list[list[bytes]] = [[] for _ in rows]
+    held: list[bytes] = [b""] * len(blocks)
+    order = sorted(range(len(blocks)), key=lambda k: -len(blocks[k][0]))
+    for i in range(0, len(order), LANES):
+        lane = order[i : i + LANES]
+        kinds = [np.unique(blocks[k][0], return_inverse=True) for k in lane]
+        payloads = encode_lanes([places for _, places in kinds], np.array([len(v) for v, _ in kinds]))
+        for k, (ids, places), payload in zip(lane, kinds, payloads):
+            vocabulary, pairs = rice_pack(ids.tolist()), blocks[k][2]
+            head = BLOCK_HEADER.pack(len(places), len(ids), len(vocabulary), len(payload), blocks[k][1], len(pairs))
+            held[k] = head + b"".join(struct.pack("<HH", *p) for p in pairs) + vocabulary + payload
+    for r, block in zip(owner, held):
+        parts[r].append(block)
+    return [HEADER.pack(MAGIC, len(data), len(p), MODES.index(m)) + b"".join(p) for data, p, m in zip(rows, parts, modes)]
+
+
+def decompress_many(archives: list[bytes]) -> list[bytes]:
+    """The bytes of each archive."""
+    blocks, owner, heads = [], [], []
+    for r, archive in enumerate(archives):
+        magic, size, count, mode = HEADER.unpack_from(archive)
+        if magic != MAGIC:
+            raise ValueError("not an archive")
+        heads.append((size, MODES[mode]))
+        at = HEADER.size
+        for _ in range(count):
+            n, kinds, vocabulary, payload, first, pairs = BLOCK_HEADER.unpack_from(archive, at)
+            at += BLOCK_HEADER.size
+            merges = [struct.unpack_from("<HH", archive, at + 4 * i) for i in range(pairs)]
+            at += 4 * pairs
+            ids = np.array(rice_unpack(archive[at : at + vocabulary], kinds), np.int64)
+            at += vocabulary
+            blocks.append((n, ids, first, merges, archive[at : at + payload]))
+            owner.append(r)
+            at += payload
+        if at != len(archive):
+            raise ValueError("damaged archive")
+    out: list[list[bytes]] = [[] for _ in archives]
+    held: list[bytes] = [b""] * len(blocks)
+    order = sorted(range(len(blocks)), key=lambda k: -blocks[k][0])
+    for i in range(0, len(order), LANES):
+        lane = order[i : i + LANES]
+        found = decode_lanes([blocks[k][4] for k in lane], np.array([blocks[k][0] for k in lane]), np.array([len(blocks[k][1]) for k in lane]))
+        for k, places in zip(lane, found):
+            if places.max() >= len(blocks[k][1]):
+                raise ValueError("damaged archive")
+            x, mode = blocks[k][1][places], heads[owner[k]][1]
+            if mode == "reverse":
+                x = x[::-1]
+            elif mode == "bwt":
+                x = unrotated(x, blocks[k][2])
+            elif mode == "extbpe":
+                x = unmerged(x, blocks[k][3])
+            held[k] = x.astype(np.uint8).tobytes()
+    for r, block in zip(owner, held):
+        out[r].append(block)
+    rows = [b"".join(x) for x in out]
+    if any(len(x) != size for x, (size, _) in zip(rows, heads)):
+        raise ValueError("damaged archive")
+    return rows
+
+
+def first_difference(a: Column, b: Column) -> Column:
+    """The first offset, from 0, at which two binary values differ (the length of the shorter one, if it begins the longer);
+    null where they are equal or one is null. Looked for by halving."""
+    size = F.least(F.length(a), F.length(b))
+
+    def halve(state: Column, _) -> Column:
+        middle = ((state["lo"] + state["hi"] + 1) / 2).cast("int")
+        equal = F.substring(a, F.lit(1), middle) == F.substring(b, F.lit(1), middle)
+        return F.when(state["lo"] >= state["hi"], state).when(equal, F.struct(middle.alias("lo"), state["hi"].alias("hi"))).otherwise(F.struct(state["lo"].alias("lo"), (middle - 1).alias("hi")))
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(32)), F.struct(F.lit(0).alias("lo"), size.alias("hi")), halve, lambda s: s["lo"])
+    return F.when(a != b, found).cast("long")
 
 
 def compress(data: bytes, mode: str = "none") -> bytes:
-    symbols = data[::-1] if mode == "reverse" else data
-    kinds = sorted(set(symbols))
-    place = {x: i for i, x in enumerate(kinds)}
-    vocabulary = rice_pack(kinds)
-    payload = encode([place[x] for x in symbols], len(kinds)) if symbols else b""
-    return HEADER.pack(MAGIC, len(data), len(symbols), len(kinds), len(vocabulary), MODES.index(mode)) + vocabulary + payload
+    return compress_many([data], mode)[0]
 
 
 def decompress(archive: bytes) -> bytes:
-    magic, size, n, kinds, held, mode = HEADER.unpack_from(archive)
-    if magic != MAGIC:
-        raise ValueError("not an archive")
-    vocabulary = rice_unpack(archive[HEADER.size : HEADER.size + held], kinds)
-    symbols = decode(archive[HEADER.size + held :], n, kinds) if n else []
-    out = bytes(vocabulary[s] for s in symbols)
-    out = out[::-1] if MODES[mode] == "reverse" else out
-    if len(out) != size:
-        raise ValueError("damaged archive")
-    return out
+    return decompress_many([archive])[0]
 
 
-def compress_rows(docs: DataFrame, mode: str = "none") -> DataFrame:
-    """seq, archive of each row's data (binary; null: empty)."""
+def compress_rows(docs: DataFrame, mode: str | None = "none") -> DataFrame:
+    """seq, archive of each row's data (binary; null: empty). mode None: the column mode names it for each row."""
     ship(docs.sparkSession)
 
     def work(batches):
         for rows in batches:
-            yield pd.DataFrame({"seq": rows["seq"], "archive": [compress(bytes(x) if x is not None else b"", mode) for x in rows["data"]]})
+            modes = list(rows["mode"]) if mode is None else mode
+            yield pd.DataFrame({"seq": rows["seq"], "archive": compress_many([bytes(x) if x is not None else b"" for x in rows["data"]], modes)})
 
-    return docs.select("seq", "data").mapInPandas(work, "seq long, archive binary")
+    return docs.select("seq", "data", *(["mode"] if mode is None else [])).mapInPandas(work, "seq long, archive binary")
 
 
 def decompress_rows(archives: DataFrame) -> DataFrame:
@@ -203,6 +402,6 @@ def decompress_rows(archives: DataFrame) -> DataFrame:
 
     def work(batches):
         for rows in batches:
-            yield pd.DataFrame({"seq": rows["seq"], "data": [decompress(bytes(x)) for x in rows["archive"]]})
+            yield pd.DataFrame({"seq": rows["seq"], "data": decompress_many([bytes(x) for x in rows["archive"]])})
 
     return archives.select("seq", "archive").mapInPandas(work, "seq long, data binary")

@@ -33,6 +33,20 @@ def decayed(counts: DataFrame) -> DataFrame:
     return counts.withColumn("n", F.shiftright("n", 1)).where("n > 0")
 
 
+def periodically_decayed(ctx: DataFrame, every: int) -> DataFrame:
+    """seq, ctx, tok, n at the end of the sequence, all counts being halved each time that a position is a multiple of every;
+    empty ones dropped. Counts within an epoch are sums, so only epochs are folded."""
+    epoch = F.floor(F.col("pos") / every)
+    rows = ctx.groupBy("seq", "ctx", "tok", epoch.alias("epoch")).agg(F.count(F.lit(1)).alias("n"))
+    last = ctx.groupBy("seq").agg(F.max(epoch).alias("last"))
+    halved = lambda n, times: F.floor(n / F.pow(F.lit(2.0), times)).cast("long")
+    none = F.struct(F.lit(0).cast("long").alias("epoch"), F.lit(0).cast("long").alias("n"))
+    fold = F.aggregate("rows", none, lambda a, b: F.struct(b["epoch"].alias("epoch"), (halved(a["n"], b["epoch"] - a["epoch"]) + b["n"]).alias("n")))
+    state = rows.groupBy("seq", "ctx", "tok").agg(F.array_sort(F.collect_list(F.struct("epoch", "n"))).alias("rows")).select("seq", "ctx", "tok", fold.alias("s"))
+    out = state.join(last, "seq").select("seq", "ctx", "tok", halved(F.col("s.n"), F.col("last") - F.col("s.epoch")).alias("n"))
+    return out.where("n > 0")
+
+
 def causal(ctx: DataFrame) -> DataFrame:
     """ctx with c (how often the symbol has followed the context before), total (how often the context came before) and
     fanout (distinct symbols that have followed it)."""

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from symloom.functions import numeric as N
 from symloom.operators import coding, contexts, dictionary, folds, merging, mixing, neural, transforms
-from symloom.plans.storage import cut, new_path
+from symloom.plans.storage import cut, new_path, write_bytes
+from symloom.sources import model_file
 from symloom.sources import sequences as S
 from symloom.streaming import scoring
 
@@ -63,11 +66,12 @@ def remap_tokens(spark, d) -> DataFrame:
     return dictionary.remap(tokens, dictionary.compact(tokens))
 
 
-@query(T + " SELECT seq, string_agg(tok, ' ' ORDER BY pos) AS text FROM t GROUP BY seq")
+@query("SELECT doc_id AS seq, text FROM documents WHERE text <> ''")
 def detokenize(spark, d) -> DataFrame:
+    """The texts again, from compact ids and vocabularies."""
     tokens = S.words(spark, d)
     vocabulary = dictionary.compact(tokens)
-    return dictionary.joined(dictionary.restore(dictionary.remap(tokens, vocabulary), vocabulary))
+    return dictionary.joined(dictionary.restore(dictionary.remap(tokens, vocabulary), vocabulary), "")
 
 
 CODES = f"WITH v AS (SELECT DISTINCT seq, ('0x' || tok)::BIGINT AS id FROM ({S.BYTES_SQL})), g AS (SELECT seq, count(*) AS ve, max(id) AS last FROM v GROUP BY seq)"
@@ -163,6 +167,21 @@ def merge_lookup(spark, d) -> DataFrame:
     return found.groupBy(F.coalesce("rank", F.lit(-1)).alias("rank")).agg(F.sum("n").alias("found"))
 
 
+@query(MERGES + """, s AS (SELECT range AS tok, lpad(hex(range), 2, '0') AS bytes FROM range(256) UNION ALL SELECT rank + 256, lpad(hex(l), 2, '0') || lpad(hex(r), 2, '0') FROM m)
+SELECT tok, bytes, l, r, rank FROM s LEFT JOIN m ON rank + 256 = tok""")
+def tokenizer_file(spark, d) -> DataFrame:
+    """The merges packed into a tokenizer file, written, and read back as tables."""
+    rows = merging.frequent_pairs(_byte_pairs(spark, d), 64).orderBy("rank").collect()  # 64 rows
+    symbols = [bytes([i]) for i in range(256)]
+    symbols += [symbols[r.l] + symbols[r.r] for r in rows]
+    data = model_file.pack(list(range(256)), symbols, [(r.l, r.r, r.m) for r in rows])
+    path = f"{new_path(spark, 'tokenizer')}.bin"
+    write_bytes(spark, path, data)
+    known, merges, _ = model_file.read(spark, path)
+    both = known.join(merges.select(F.col("m").alias("tok"), "l", "r", "rank"), "tok", "left")
+    return both.select("tok", F.hex("bytes").alias("bytes"), "l", "r", "rank")
+
+
 @query("SELECT doc_id AS seq, octet_length(encode(text)) AS bytes, true AS same FROM documents")
 def merge_encode_roundtrip(spark, d) -> DataFrame:
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -176,7 +195,7 @@ def merge_encode_roundtrip(spark, d) -> DataFrame:
 
 
 def _context_sql(k: int) -> str:
-    return f"""WITH w AS (SELECT doc_id AS seq, regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+') AS w FROM documents),
+    return f"""WITH w AS (SELECT doc_id AS seq, regexp_extract_all(coalesce(text, ''), '{S.WORD}') AS w FROM documents),
 i AS (SELECT seq, w, unnest(range({k} + 1, len(w) + 1)) AS i FROM w WHERE len(w) > {k}),
 x AS (SELECT seq, i - 1 AS pos, w[i] AS tok, array_to_string(w[i - {k}:i - 1], chr(1)) AS ctx FROM i)"""
 
@@ -212,6 +231,14 @@ def ngram_decayed_counts(spark, d) -> DataFrame:
     return contexts.decayed(contexts.final_counts(contexts.with_context(S.packed_words(S.table(spark, d, "documents")), 1)))
 
 
+@query(_context_sql(1) + """, e AS (SELECT seq, ctx, tok, pos // 100 AS epoch, count(*) AS n FROM x GROUP BY ALL),
+l AS (SELECT seq, max(pos) // 100 AS last FROM x GROUP BY seq), f AS (SELECT seq, ctx, tok, list({'epoch': epoch, 'n': n} ORDER BY epoch) AS rows FROM e GROUP BY ALL),
+s AS (SELECT *, list_reduce(rows, lambda a, b: {'epoch': b.epoch, 'n': (a.n >> (b.epoch - a.epoch)) + b.n}) AS s FROM f)
+SELECT seq, ctx, tok, s.n >> (last - s.epoch) AS n FROM s JOIN l USING (seq) WHERE s.n >> (last - s.epoch) > 0""")
+def ngram_periodic_decay(spark, d) -> DataFrame:
+    return contexts.periodically_decayed(contexts.with_context(S.packed_words(S.table(spark, d, "documents")), 1), 100)
+
+
 @query(T + ", n AS (SELECT seq, tok, row_number() OVER (PARTITION BY seq, tok ORDER BY pos) - 1 AS n FROM t) SELECT seq, round(sum(0.1 * ln(n + 1)), 4) AS prior_sum FROM n GROUP BY seq")
 def unigram_prior(spark, d) -> DataFrame:
     rows = contexts.prior_counts(S.words(spark, d))
@@ -229,7 +256,7 @@ def recency_bonus(spark, d) -> DataFrame:
 
 LZ = T + VOCAB + """, i AS (SELECT seq, pos, cid::BIGINT AS id FROM t JOIN c USING (seq, tok)),
 l AS (SELECT seq, pos, id, lag(id, 2) OVER w AS p2, lag(id, 1) OVER w AS p1 FROM i WINDOW w AS (PARTITION BY seq ORDER BY pos)),
-k AS (SELECT seq, pos, id, (p2 * 7919 + p1 * 104729 + 1000003) & 16777215 AS slot, p2 * 100000 + p1 AS key FROM l WHERE p2 IS NOT NULL),
+k AS (SELECT seq, pos, id, (p2 * 7919 + p1 * 104729 + 1000003) & 16777215 AS slot, p2 * 4294967296 + p1 AS key FROM l WHERE p2 IS NOT NULL),
 g AS (SELECT seq, slot, list_reduce(list({'key': key, 'id': id, 'cnt': 1::BIGINT} ORDER BY pos), lambda s, r:
   CASE WHEN s.key = r.key AND s.id = r.id THEN {'key': s.key, 'id': s.id, 'cnt': least(s.cnt + 1, 30000)}
     WHEN s.cnt <= 1 THEN {'key': r.key, 'id': r.id, 'cnt': 1::BIGINT} ELSE {'key': s.key, 'id': s.id, 'cnt': s.cnt - 1} END) AS s FROM k GROUP BY seq, slot)"""
@@ -251,6 +278,18 @@ def lz_boost(spark, d) -> DataFrame:
     return state.groupBy("seq").agg(F.count(F.lit(1)).alias("slots"), F.round(F.sum(folds.boost(F.col("cnt"))), 4).alias("boost"))
 
 
+LZ_AS_OF = LZ.replace("g AS (SELECT seq, slot, list_reduce(", "h AS (SELECT seq, slot, list(pos ORDER BY pos) AS ats, list({'key': key, 'id': id, 'cnt': 1::BIGINT} ORDER BY pos) AS rows FROM k GROUP BY seq, slot), g AS (SELECT *, list_reduce(").replace(
+    "list({'key': key, 'id': id, 'cnt': 1::BIGINT} ORDER BY pos), lambda", "rows[1:n], lambda").replace("AS s FROM k GROUP BY seq, slot)", "AS s FROM (SELECT *, unnest(range(1, len(rows))) AS n FROM h))")
+
+
+@query(LZ_AS_OF + """ SELECT seq, ats[n + 1] AS pos, s.id AS id, s.cnt AS cnt, rows[n + 1].id = s.id AS right, round(1.5 * (1 - 1 / (1 + 0.3 * s.cnt)), 6) AS bonus
+FROM g WHERE s.key = rows[n + 1].key""")
+def lz_bonus_as_of(spark, d) -> DataFrame:
+    """What the last-match table foretells at each position, from the positions before it only."""
+    rows = folds.match_as_of(_compact_ids(spark, d))
+    return rows.select("seq", "pos", "id", "cnt", F.col("right"), F.round(folds.boost(F.col("cnt")), 6).alias("bonus"))
+
+
 # ---- mixing -------------------------------------------------------------------------------------------------------
 
 
@@ -264,23 +303,47 @@ def bpt_progress(spark, d) -> DataFrame:
     return mixing.progress(mixing.count_bits(S.words(spark, d)))
 
 
-@query(T + COUNTED + """, s AS (SELECT seq, count(*) AS toks, sum(bits) / 8 AS size FROM b GROUP BY seq)
-SELECT count(*) AS files, sum(toks)::BIGINT AS toks, sum(octet_length(encode(text)))::BIGINT AS bytes, round(sum(size), 1) AS coded,
-  round(sum(size) / sum(octet_length(encode(text))), 4) AS ratio, round(8 * sum(size) / sum(octet_length(encode(text))), 4) AS bpb, round(8 * sum(size) / sum(toks), 4) AS bpt
-FROM s JOIN documents ON doc_id = seq""")
+@query(T + COUNTED + """, s AS (SELECT seq, count(*) AS toks, sum(bits) / 8 AS size FROM b GROUP BY seq),
+r AS (SELECT coalesce(toks, 0) AS toks, coalesce(size, 0) AS size, octet_length(encode(coalesce(text, ''))) AS raw FROM documents LEFT JOIN s ON doc_id = seq)
+SELECT count(*) AS files, sum(toks)::BIGINT AS toks, sum(raw)::BIGINT AS bytes, round(sum(size), 1) AS coded,
+  round(sum(size) / sum(raw), 4) AS ratio, round(8 * sum(size) / sum(raw), 4) AS bpb, round(8 * sum(size) / sum(toks), 4) AS bpt FROM r""")
 def compression_report(spark, d) -> DataFrame:
+    """Of the same bytes: how long the texts are, and the code of their tokens (without the vocabularies)."""
     s = mixing.count_bits(S.words(spark, d)).groupBy("seq").agg(F.count(F.lit(1)).alias("toks"), (F.sum("bits") / 8).alias("size"))
-    docs = S.table(spark, d, "documents").select(F.col("doc_id").alias("seq"), F.octet_length("text").alias("raw"))
-    size, raw, toks = F.sum("size"), F.sum("raw"), F.sum("toks")
-    return s.join(docs, "seq").agg(
+    docs = S.table(spark, d, "documents").select(F.col("doc_id").alias("seq"), F.octet_length(F.coalesce("text", F.lit(""))).alias("raw"))
+    size, raw, toks = F.sum(F.coalesce("size", F.lit(0.0))), F.sum("raw"), F.sum(F.coalesce("toks", F.lit(0)))
+    return docs.join(s, "seq", "left").agg(
         F.count(F.lit(1)).alias("files"), toks.alias("toks"), raw.alias("bytes"), F.round(size, 1).alias("coded"),
         F.round(size / raw, 4).alias("ratio"), F.round(8 * size / raw, 4).alias("bpb"), F.round(8 * size / toks, 4).alias("bpt"),
     )
 
 
-@query()
+#: Which earlier positions had the same context: all orders at once, as pairs of positions; then the other two sources.
+NGRAM = T + VOCAB + """, i AS (SELECT t.seq, t.pos, c.cid AS id FROM t JOIN c USING (seq, tok)),
+p AS (SELECT seq, list(id ORDER BY pos) AS s FROM i GROUP BY seq),
+x AS (SELECT seq, k, pos, s[pos + 1] AS id, s[pos - k + 1:pos] AS ctx FROM (SELECT seq, s, unnest(range(1, len(s))) AS pos FROM p), (VALUES """ + ", ".join(f"({k})" for k in contexts.ORDERS) + """) o(k) WHERE pos >= k),
+g AS (SELECT a.seq, a.pos, a.k, b.id, count(*) AS c FROM x a JOIN x b ON a.seq = b.seq AND a.k = b.k AND a.ctx = b.ctx AND b.pos < a.pos GROUP BY ALL),
+l AS (SELECT seq, pos, id, s[pos - 1] * 4294967296 + s[pos] AS key, (s[pos - 1] * 7919 + s[pos] * 104729 + 1000003) & 16777215 AS slot
+  FROM (SELECT seq, s, unnest(range(2, len(s))) AS pos FROM p) JOIN i USING (seq, pos)),
+h AS (SELECT seq, slot, list({'key': key, 'id': id::BIGINT, 'cnt': 1::BIGINT} ORDER BY pos) AS rows, list(pos ORDER BY pos) AS ats, list(key ORDER BY pos) AS keys FROM l GROUP BY seq, slot HAVING count(*) > 1),
+m AS (SELECT seq, ats[n + 1] AS pos, keys[n + 1] AS key, list_reduce(rows[1:n], lambda s, r: CASE WHEN s.key = r.key AND s.id = r.id THEN {'key': s.key, 'id': s.id, 'cnt': least(s.cnt + 1, 30000)}
+    WHEN s.cnt <= 1 THEN {'key': r.key, 'id': r.id, 'cnt': 1::BIGINT} ELSE {'key': s.key, 'id': s.id, 'cnt': s.cnt - 1} END) AS s
+  FROM (SELECT *, unnest(range(1, len(rows))) AS n FROM h)),
+d AS (SELECT seq, pos, id, CASE k """ + " ".join(f"WHEN {k} THEN {w} * ln(1 + c / {a})" for k, (w, a) in contexts.ORDERS.items()) + """ END AS d FROM g
+  UNION ALL SELECT seq, pos, s.id, 1.5 * (1 - 1 / (1 + 0.3 * s.cnt)) FROM m WHERE s.key = m.key
+  UNION ALL SELECT a.seq, a.pos, b.id, 0.05 * exp(-3.0 * (a.pos - 1 - b.pos) / 64) FROM i a JOIN i b ON a.seq = b.seq AND b.pos BETWEEN a.pos - 64 AND a.pos - 1),
+e AS (SELECT seq, pos, id, sum(d) AS d FROM d GROUP BY ALL),
+o AS (SELECT seq, pos, id, row_number() OVER (PARTITION BY seq, id ORDER BY pos) AS n FROM i),
+q AS (SELECT e.seq, e.pos, e.id, e.d, o.n FROM e ASOF JOIN o ON e.seq = o.seq AND e.id = o.id AND e.pos > o.pos),
+r AS (SELECT seq, pos, sum(pow(n + 1, 0.1) * (exp(d) - 1)) AS more FROM q GROUP BY ALL),
+y AS (SELECT *, n - 1 AS before, count(*) FILTER (n = 1) OVER (PARTITION BY seq) + coalesce(sum(pow(n + 1, 0.1) - pow(n, 0.1)) OVER (PARTITION BY seq ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS z FROM o)"""
+
+
+@query(NGRAM + """ SELECT y.seq, count(*) AS n, round(sum(log2(z + coalesce(more, 0)) - 0.1 * log2(before + 1) - coalesce(q.d, 0) / ln(2)), 3) AS total_bits
+FROM y LEFT JOIN r ON r.seq = y.seq AND r.pos = y.pos LEFT JOIN q ON q.seq = y.seq AND q.pos = y.pos AND q.id = y.id GROUP BY y.seq""")
 def code_length_ngram(spark, d) -> DataFrame:
-    return mixing.context_code_length(S.packed_words(S.table(spark, d, "documents")))
+    packed = S.packed_words(S.table(spark, d, "documents"))
+    return mixing.context_code_length(packed.where(F.size("toks") > 0))
 
 
 H = T + """, v AS (SELECT seq, tok, count(*) AS n FROM t GROUP BY ALL), p AS (SELECT seq, n / sum(n) OVER (PARTITION BY seq) AS p FROM v),
@@ -382,26 +445,44 @@ def _data(spark, d) -> DataFrame:
     return S.table(spark, d, "documents").select(F.col("doc_id").alias("seq"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"))
 
 
-def _archives(spark, d, mode: str) -> DataFrame:
+def _archives(spark, d, mode: Column) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return coding.compress_rows(_data(spark, d).repartition(4 * parts, "seq"), mode)
+    return coding.compress_rows(_data(spark, d).withColumn("mode", mode).repartition(4 * parts, "seq"), None)
 
 
-@query("SELECT doc_id AS seq, octet_length(encode(text)) AS n_orig, len(list_distinct(regexp_extract_all(hex(encode(text)), '..')))::BIGINT AS kinds FROM documents")
+@query(f"""SELECT doc_id AS seq, octet_length(encode(coalesce(text, ''))) AS n_orig, ceil(octet_length(encode(coalesce(text, ''))) / {coding.BLOCK})::BIGINT AS blocks,
+  least(octet_length(encode(coalesce(text, ''))), {coding.BLOCK})::BIGINT AS first_symbols FROM documents""")
 def archive_header(spark, d) -> DataFrame:
-    """Sizes and kinds that the headers of the archives state."""
-    held = cut(_archives(spark, d, "none"), "archives")
+    """Sizes that the headers of the archives and of their first blocks state."""
+    held = cut(_archives(spark, d, F.lit("none")), "archives")
     little = lambda a, n: F.conv(F.array_join(F.reverse(F.regexp_extract_all(F.hex(F.substring("archive", a, n)), F.lit("(..)"), 1)), ""), 16, 10).cast("long")
-    return held.select("seq", little(5, 8).alias("n_orig"), little(21, 4).alias("kinds"))
+    first = F.when(F.length("archive") > coding.HEADER.size, little(coding.HEADER.size + 1, 4)).otherwise(0)
+    return held.select("seq", little(5, 8).alias("n_orig"), little(13, 4).alias("blocks"), first.cast("long").alias("first_symbols"))
 
 
-@query("SELECT doc_id AS seq, octet_length(encode(text)) AS bytes, true AS same FROM documents")
+def _mode(seq) -> Column:
+    return F.element_at(F.array(*[F.lit(m) for m in coding.MODES]), (F.pmod(seq, F.lit(len(coding.MODES))) + 1).cast("int"))
+
+
+@query(f"""SELECT doc_id AS seq, {list(coding.MODES)}[doc_id % {len(coding.MODES)} + 1] AS mode, octet_length(encode(coalesce(text, ''))) AS bytes, true AS same,
+  NULL::BIGINT AS first_difference FROM documents""")
 def roundtrip_verify(spark, d) -> DataFrame:
-    """Each document compressed, written, read, decompressed and compared."""
-    held = cut(_archives(spark, d, "reverse"), "archives")
+    """Each document compressed, written, read, decompressed and compared; the modes of preprocessing take turns."""
+    held = cut(_archives(spark, d, _mode(F.col("seq"))), "archives")
     back = coding.decompress_rows(held).withColumnRenamed("data", "again")
     both = _data(spark, d).join(back, "seq", "full_outer")
-    return both.select("seq", F.octet_length("data").cast("long").alias("bytes"), F.col("data").eqNullSafe(F.col("again")).alias("same"))
+    return both.select(
+        "seq", _mode(F.col("seq")).alias("mode"), F.octet_length("data").cast("long").alias("bytes"),
+        F.col("data").eqNullSafe(F.col("again")).alias("same"), coding.first_difference(F.col("data"), F.col("again")).alias("first_difference"),
+    )
+
+
+@query()
+def archive_sizes(spark, d) -> DataFrame:
+    """seq, mode, bytes, coded: each document's size and that of its archive in each mode of preprocessing."""
+    sizes = [_archives(spark, d, F.lit(m)).select("seq", F.lit(m).alias("mode"), F.octet_length("archive").cast("long").alias("coded")) for m in coding.MODES]
+    bytes_ = _data(spark, d).select("seq", F.octet_length("data").cast("long").alias("bytes"))
+    return reduce(DataFrame.unionByName, sizes).join(bytes_, "seq").select("seq", "mode", "bytes", "coded")
 
 
 @query()

@@ -32,3 +32,14 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """Writes a small file below a temporary name and renames it."""
+    jvm = spark.sparkContext._jvm
+    target, temporary = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.{uuid.uuid4().hex}"))
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(temporary)
+    out.write(bytearray(data))
+    out.close()
+    fs.rename(temporary, target)

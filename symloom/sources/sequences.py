@@ -6,7 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-WORD = "([A-Za-z0-9]+)"
+#: Letters and digits: ASCII, and Latin from U+00C0 to U+024F.
+LETTERS = r"A-Za-z0-9\x{C0}-\x{24F}"
+#: A token is a word with all that stands between it and the word before; what follows the last word is a token too. So the
+#: tokens of a text, put together, are the text.
+WORD = f"([^{LETTERS}]*[{LETTERS}]+|[^{LETTERS}]+)"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def packed_words(docs: DataFrame) -> DataFrame:
-    """seq, toks: each document's words as an array. Null texts have no words."""
+    """seq, toks: each document's tokens as an array. Null and empty texts have none."""
     return docs.select(F.col("doc_id").alias("seq"), F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), 1).alias("toks"))
 
 
@@ -46,7 +50,7 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # The same relations in SQL.
-WORDS_SQL = "SELECT doc_id AS seq, unnest(w) AS tok, generate_subscripts(w, 1) - 1 AS pos FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+') AS w FROM documents)"
+WORDS_SQL = f"SELECT doc_id AS seq, unnest(w) AS tok, generate_subscripts(w, 1) - 1 AS pos FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents)"
 BYTES_SQL = "SELECT doc_id AS seq, unnest(w) AS tok, generate_subscripts(w, 1) - 1 AS pos FROM (SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS w FROM documents)"
 EVENTS_SQL = "SELECT user_id AS seq, event_type AS tok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM events"
 TURNS_SQL = "SELECT conv_id AS seq, role AS tok, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS pos FROM conversations"

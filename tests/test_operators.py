@@ -7,10 +7,12 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from symloom.operators import coding, contexts, dictionary, folds, merging, mixing, neural, transforms
 from symloom.plans.queries import QUERIES
 from symloom.plans.storage import cut
+from symloom.sources import model_file
 
 SF = "/root/testdata/sf0.001"
 SEQUENCES = {1: "", 2: "a", 3: "aaaa", 4: "abab", 5: "aaaaa", 6: "banana", 7: "mississippi", 8: "abcabcabcx", 9: "aab" * 11, 10: "ab" * 33}
@@ -105,12 +107,75 @@ def test_archive_round_trip(data, mode):
     assert coding.decompress(coding.compress(data, mode)) == data
 
 
-@pytest.mark.parametrize("data", [b"", b"a", bytes(range(256)) * 3, b"\0" * 5000, "aé漢" .encode() * 50])
-def test_archive_edges(data):
-    packed = coding.compress(data)
+@pytest.mark.parametrize("mode", coding.MODES)
+@pytest.mark.parametrize("data", [b"", b"a", bytes(range(256)) * 3, b"\0" * 5000, "aé漢".encode() * 50, b"ab" * 4096 + b"c", bytes(4097)])
+def test_archive_edges(data, mode):
+    packed = coding.compress(data, mode)
     assert coding.decompress(packed) == data
-    if len(data) > 1000:
-        assert len(packed) < len(data) * 1.3
+    if len(data) > 4000:
+        assert len(packed) < len(data) / 8
+
+
+def test_archives_do_not_depend_on_their_neighbours():
+    rng = np.random.default_rng(4)
+    rows = [rng.integers(0, k, n).astype(np.uint8).tobytes() for k, n in [(2, 9000), (250, 700), (5, 4096), (100, 4097), (3, 1), (256, 6000)]] + [b""]
+    modes = [coding.MODES[i % 4] for i in range(len(rows))]
+    together = coding.compress_many(rows, modes)
+    assert together == [coding.compress(r, m) for r, m in zip(rows, modes)]
+    assert coding.decompress_many(together[::-1]) == rows[::-1]
+    with pytest.raises(ValueError):
+        coding.decompress(b"none" + together[0][4:])
+
+
+def test_archives_code_what_the_model_says():
+    """The payload is as long as the ranges of the model say, to a few bytes."""
+    text = ("the cat sat on the mat and the dog sat on the cat " * 30).encode()
+    x, places = np.unique(np.frombuffer(text, np.uint8), return_inverse=True)
+    model, bits = coding.Lanes(1, len(x) + 1, np.array([len(x)])), 0.0
+    for s in places:
+        ends = model.ranges(1)[0]
+        bits -= np.log2((ends[s] - (ends[s - 1] if s else 0)) / coding.TOTAL)
+        model.learn(1, np.array([s]))
+    assert abs(len(coding.encode_lanes([places], np.array([len(x)]))[0]) - bits / 8) < 8
+    assert bits < 0.4 * 8 * len(text)
+
+
+def test_block_transforms_by_hand():
+    x = np.frombuffer(b"banana", np.uint8).astype(np.int64)
+    order = coding.rotations(x)
+    assert order.tolist() == sorted(range(6), key=lambda i: (b"banana"[i:] + b"banana"[:i], i))
+    assert coding.unrotated(x[order - 1], order.tolist().index(0)).tolist() == x.tolist()
+    y, pairs = coding.merged(np.array([97] * 7), 3)
+    assert pairs == [(97, 97)] and y.tolist() == [256, 256, 256, 97]
+    y, pairs = coding.merged(np.array([97, 98, 97, 98, 97, 98]), 2)
+    assert pairs == [(97, 98), (256, 256)] and y.tolist() == [257, 256] and coding.unmerged(y, pairs).tolist() == [97, 98] * 3
+
+
+def test_first_difference(spark):
+    rows = [(b"abc", b"abc"), (b"abc", b"abd"), (b"abc", b"ab"), (b"", b"x"), (b"x" * 999 + b"y", b"x" * 1000), (b"a", None)]
+    df = spark.createDataFrame([tuple(None if x is None else bytearray(x) for x in r) for r in rows], "a binary, b binary")
+    assert [r[0] for r in df.select(coding.first_difference(F.col("a"), F.col("b"))).collect()] == [None, 2, 2, 0, 999, None]
+
+
+def test_tokenizer_file():
+    symbols = [bytes([i]) for i in range(256)] + [b"ab", b"abc", b"zz"]
+    of_byte = [i if i != 7 else -1 for i in range(256)]
+    data = model_file.pack(of_byte, symbols, [(97, 98, 256), (256, 99, 257), (97, 98, 258), (97, 999, 258), (122, 122, 258)])
+    bytes_, known, merges = model_file.unpack(data)
+    assert known == symbols and bytes_ == [max(x, 0) for x in of_byte]
+    assert merges == {(97, 98): (0, 256), (256, 99): (1, 257), (122, 122): (4, 258)}  # the first counts, unknown ids keep their rank
+    big = model_file.unpack(model_file.pack(of_byte, [b"x" * 255] * 3000, []))[1]
+    assert len(b"".join(big)) <= model_file.POOL and big[-1] == b"" and big[0] == b"x" * 255
+    with pytest.raises(ValueError):
+        model_file.unpack(b"nope" + data[4:])
+
+
+def test_gaussians_continue_a_stream():
+    x, state = neural.gaussians(1000, neural.SEED)
+    a, s = neural.gaussians(400, neural.SEED)
+    b, t = neural.gaussians(600, s)
+    assert (np.concatenate([a, b]) == x).all() and t == state
+    assert abs(x.mean()) < 0.15 and abs(x.std() - 1) < 0.1
 
 
 @given(st.sets(st.integers(0, 50000), min_size=1, max_size=200))
