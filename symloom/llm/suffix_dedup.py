@@ -12,8 +12,10 @@ first, in written tables and with shuffles of identifiers only:
 3. runs of windows that share an anchor are sent with their bytes to a task that holds all runs of that anchor, each
    distinct run of a chunk once. There the buckets are refined (refine()): from 8-byte grams to 16, 32 ... bytes by sorting
    on (bucket, bucket at the later offset), at last on the bytes at the ends. This compares bytes, not hashes;
-4. windows of anchors with more than HOT runs, which would not fit one task, are dealt by a 128-bit identifier of their own
-   instead, so that no group is hot. At 10^14 such windows the odds of any false match are about 10^-11.
+4. anchors with more than HOT runs would not fit one task. Their buckets are refined by the 128-bit identifiers of what about 16
+   classes of windows have in common (all but 16 of their bytes), then, where that is found again, of the windows
+   themselves; both are dealt by identifier, so that no group is hot. At 10^14 such windows the odds of any false match are
+   about 10^-11.
 
 Chunks hold the texts between the levels. Besides the removed bytes the result tells the words of passages: anchors of
 PASSAGE words (one at least lies in any 50 words) that another document has too.
@@ -36,16 +38,16 @@ from symloom.llm import arrays as A
 from symloom.llm.chunks import Store, by_chunk, deal
 from symloom.llm.common import materialize, new_path, ship, table
 
-LENGTH, GRAM, SEGMENT, HOT, PART_RUNS = 400, 128, 1 << 18, 2000, 12000
+LENGTH, GRAM, SEGMENT, HOT, PART_RUNS, CLASSES = 400, 128, 1 << 18, 500, 12000, 16
 #: A passage's words, and the words that its anchors stand for: of 19 neighbouring grams of 32 words one is an anchor.
 PASSAGE, PASSAGE_GRAM = 50, 32
 U = np.uint64
 RESULT = "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept_sha256 string, n_shared_words long"
 #: What chunks are told: 0 the chunk's file, 1 a text with copies, 2 a repeated byte anchor, 3 a repeated passage anchor, 4 the
-#: windows of a run that are repeated, 5 a repeated window of a hot anchor.
+#: windows of a run that are repeated, 5 a repeated window of a hot anchor, 6 a repeated core of a class of its windows.
 TOLD = "chunk long, kind int, name string, a long, b long, bits binary"
 FOUND = "kind int, id long, low long, chunk long, n long"
-NAME, COPY, ANCHOR, WORDS, RUN, WINDOW = range(6)
+NAME, COPY, ANCHOR, WORDS, RUN, WINDOW, CORE = range(7)
 
 
 def _double(ids: np.ndarray, k: int, level: int) -> np.ndarray:
@@ -197,10 +199,12 @@ def refine(runs: list[bytes], phase: np.ndarray, count: np.ndarray, length: int
 
 
 def window_ids(data: np.ndarray, froms: np.ndarray, tos: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions and 128-bit identifiers (high, low) of the windows in the runs froms..tos, computed on the runs' bytes."""
+    """Positions and 128-bit identifiers (high, low) of the windows in the ranges froms..tos (in order, they may overlap),
+    computed on their bytes only."""
     at, high, low = [], [], []
     if len(froms):
-        gap = np.flatnonzero(froms[1:] > tos[:-1]) + 1  # runs that touch are one
+        tos = np.maximum.accumulate(tos)
+        gap = np.flatnonzero(froms[1:] > tos[:-1]) + 1  # ranges that touch are one
         for i, j in zip(froms[np.append(0, gap)].tolist(), tos[np.append(gap - 1, len(tos) - 1)].tolist()):
             for a in range(i, j, SEGMENT):
                 b = min(j, a + SEGMENT)
@@ -212,6 +216,23 @@ def window_ids(data: np.ndarray, froms: np.ndarray, tos: np.ndarray, length: int
     return (np.concatenate(at), np.concatenate(high), np.concatenate(low)) if at else (np.zeros(0, np.int64), none, none)
 
 
+def _step(length: int) -> int:
+    return max(1, (length - min(GRAM, length // 3) + 1) // CLASSES)
+
+
+def core_ids(data: np.ndarray, froms: np.ndarray, tos: np.ndarray, at: np.ndarray, ids: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """For each class of windows of each run: run, class, and the 128-bit identifier of anchor, class and core. The windows of
+    class c hold their anchor at an offset from c * step on, below (c + 1) * step; their core is what all of them hold."""
+    step = _step(length)
+    low_class, high_class = (at - tos + 1) // step, (at - froms) // step
+    count = high_class - low_class + 1
+    run = np.repeat(np.arange(len(froms)), count)
+    kind = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count) + low_class[run]
+    place, high, low = window_ids(data, at - step * high_class, at - step * low_class + 1, length - step + 1)
+    found = np.searchsorted(place, at[run] - step * kind)
+    return run, kind, high[found] ^ A.mix(ids[run] + kind.astype(np.uint64)), low[found]
+
+
 def passage_anchors(data: np.ndarray, offsets: np.ndarray, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of each text, and text, first word (within the text) and identifier of the passage anchors."""
     starts, ends, first = A.words(data, offsets)
@@ -236,6 +257,12 @@ def _counted(kind: int, chunk: int, high: np.ndarray, low: np.ndarray | None = N
     return pa.table([pa.array(c) for c in columns], names=["kind", "id", "low", "chunk", "n"])
 
 
+def _among(high: np.ndarray, low: np.ndarray, told: pa.Table) -> np.ndarray:
+    """Which identifiers are told of (a: high, b: low)."""
+    known = set(zip(told["a"].to_pylist(), told["b"].to_pylist()))
+    return np.fromiter((x in known for x in zip(high.view(np.int64).tolist(), low.view(np.int64).tolist())), bool, len(high))
+
+
 def _digest(raw) -> tuple[int, int]:
     d = hashlib.blake2b(raw, digest_size=16).digest()
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
@@ -284,7 +311,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         """The chunk's number, name and rows, and what else it is told, by kind."""
         kinds, names = rows["kind"].to_numpy(), rows["name"].to_pylist()
         name = names[int(np.flatnonzero(kinds == NAME)[0])]
-        by = {k: rows.filter(pa.array(kinds == k)) for k in range(1, 6)}
+        by = {k: rows.filter(pa.array(kinds == k)) for k in range(1, 7)}
         return rows["chunk"][0].as_py(), name, Store(uri).table(name), by
 
     def of(rows: pa.Table, *columns: str) -> list[np.ndarray]:
@@ -365,11 +392,26 @@ def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         packed = [np.packbits(b | m).tobytes() for b, m in zip(bits, many.tolist())]
         return pa.table([rows["chunk"], rows["run"], pa.array(packed, pa.binary())], names=["chunk", "run", "bits"])
 
+    def hot_cores(rows: pa.Table) -> pa.Table:
+        chunk, name, held, by = load(rows)
+        _, runs = runs_of(name, by)
+        _, _, high, low = core_ids(A.flat(held["text"])[0], *runs, length)
+        return _counted(CORE, chunk, high, low)
+
+    def hot_live(name: str, data: np.ndarray, by: dict) -> tuple[np.ndarray, np.ndarray]:
+        """The runs of windows of hot anchors whose class has a repeated core."""
+        _, (froms, tos, at, ids) = runs_of(name, by)
+        run, kind, high, low = core_ids(data, froms, tos, at, ids, length)
+        live = _among(high, low, by[CORE])
+        run, kind, step = run[live], kind[live], _step(length)
+        begin, end = np.maximum(froms[run], at[run] - step * (kind + 1) + 1), np.minimum(tos[run], at[run] - step * kind + 1)
+        order = np.argsort(begin)
+        return begin[order], end[order]
+
     def hot_windows(rows: pa.Table) -> pa.Table:
         chunk, name, held, by = load(rows)
         data, _ = A.flat(held["text"])
-        _, (froms, tos, _, _) = runs_of(name, by)
-        _, high, low = window_ids(data, froms, tos, length)
+        _, high, low = window_ids(data, *hot_live(name, data, by), length)
         return _counted(WINDOW, chunk, high, low)
 
     names = chunks.unionByName(anchored)
@@ -377,14 +419,19 @@ def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     judged = sent.repartition(parts, "part").groupBy("part").applyInArrow(judge, "chunk long, run long, bits binary")
     judged = told(materialize(judged, "suffix-judged"), RUN, a=F.col("run"), bits=F.col("bits"))
     hottest = anchored.where("b = 1")
-    windows = by_chunk(chunks.join(hottest.select("chunk").distinct(), "chunk", "left_semi").unionByName(hottest), n).applyInArrow(hot_windows, FOUND)
-    windows = told(materialize(again(materialize(windows, "suffix-windows")), "suffix-hot"), WINDOW, a=F.col("id"), b=F.col("low"))
+    hottest = materialize(chunks.join(hottest.select("chunk").distinct(), "chunk", "left_semi").unionByName(hottest), "suffix-hottest")
+
+    def repeated(rows: DataFrame, kind: int, label: str) -> DataFrame:
+        return materialize(told(again(materialize(rows, label)), kind, a=F.col("id"), b=F.col("low")), label)
+
+    cores = repeated(by_chunk(hottest, n).applyInArrow(hot_cores, FOUND), CORE, "suffix-cores")
+    windows = repeated(by_chunk(hottest.unionByName(cores), n).applyInArrow(hot_windows, FOUND), WINDOW, "suffix-windows")
 
     def result(rows: pa.Table) -> pa.Table:
         chunk, name, held, by = load(rows)
         data, offsets = A.flat(held["text"])
         have, _ = copied(by, len(held))
-        (froms, tos, at, _), (hot_from, hot_to, _, _) = runs_of(name, by)
+        froms, tos, at, _ = runs_of(name, by)[0]
         edges = np.zeros(len(data) + 1, np.int64)
 
         def cover(windows: np.ndarray) -> None:
@@ -399,11 +446,9 @@ def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             lead = first.setdefault((p - a, data[a : b + length - 1].tobytes()), i)
             if len(raws[lead]):
                 cover(a + raws[lead])
-        if len(hot_from):
-            place, high, low = window_ids(data, hot_from, hot_to, length)
-            known = set(zip(*(by[WINDOW][c].to_pylist() for c in ("a", "b"))))
-            pairs = zip(high.view(np.int64).tolist(), low.view(np.int64).tolist())
-            cover(place[np.fromiter((p in known for p in pairs), bool, len(place))])
+        if by[WINDOW].num_rows:
+            place, high, low = window_ids(data, *hot_live(name, data, by), length)
+            cover(place[_among(high, low, by[WINDOW])])
         gone = np.cumsum(edges[:-1]) > 0
         for i in np.flatnonzero(have & (np.diff(offsets) >= length)):
             gone[offsets[i] : offsets[i + 1]] = True
@@ -433,7 +478,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         out = A.per_text(np.cumsum(edges[:-1]) > 0, begin)
         return np.where(have & (words >= PASSAGE), words, out)
 
-    everything = chunks.unionByName(copies).unionByName(anchored).unionByName(shared).unionByName(judged).unionByName(windows)
+    everything = chunks.unionByName(copies).unionByName(anchored).unionByName(shared).unionByName(judged).unionByName(cores).unionByName(windows)
     return by_chunk(everything, n).applyInArrow(result, RESULT)
 
 
