@@ -238,6 +238,27 @@ def test_padded_licence_sentences(spark, pad):
     assert docs.where("doc_id = 5").select(licenses.normal(F.col("text"))).first()[0] == "..#license"
 
 
+@pytest.mark.parametrize("table", [{"quux frob": "a", "frob": "b", "zig zag": "c"}, {"...": "dots"}, licenses.SENTENCES | {"hands off": "x"}])
+def test_any_table_of_sentences_is_found(spark, table):
+    rows = [(i, f"Words. {k.upper()}. More\n# {k}\n") for i, k in enumerate(table)]
+    got = spark.createDataFrame(rows, "i int, text string").select("i", licenses.sentence_ids(F.col("text"), table).alias("ids")).collect()
+    for (k, x), r in zip(table.items(), sorted(got)):
+        assert r.ids.count(x) == 2 or k == "..." and not r.ids
+    words = licenses.stems(list(table))
+    assert all(any(w in k for w in words) for k in table) or not words
+
+
+def test_long_padded_sentences_agree_with_sql(spark, tmp_path):
+    import duckdb
+
+    rows = [(1, "#" * 420 + " MIT License"), (2, "Released under" + " " * 420 + "the MIT License."), (3, "#" * 3000 + "\n" + "x" * 3000 + ". The MIT License (MIT)"), (4, None)]
+    got = {r.doc_id: r.licences for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert got == {r[0]: r[3] for r in con.execute(licenses.oracle()).fetchall()} == {1: "MIT", 2: "MIT", 3: "MIT", 4: ""}
+
+
 def test_licence_rows(docs, empty, rows):
     assert licenses.scan(docs).count() == len(rows)
     assert licenses.scan(empty).count() == 0
