@@ -22,6 +22,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
@@ -31,7 +32,8 @@ from symloom.llm.chunks import Store, by_chunk, deal
 from symloom.llm.common import materialize, new_path, ship, table
 from symloom.llm.linking import components
 
-REGISTERS, BASE, RATE, TOP, BANDS = 128, 1.001, 20.0, 65534, 32
+#: 42 bands of 6 registers: a pair of similarity 0.8 meets in none with odds of 3e-6, one of 0.3 in some with odds of 0.03.
+REGISTERS, BASE, RATE, TOP, BANDS = 252, 1.001, 20.0, 65534, 42
 U = np.uint64
 SKETCH = "uid long, doc_id long, chunk string, idx int, n long, d1 long, d2 long, keys array<long>, registers binary"
 
@@ -44,12 +46,15 @@ def set_sketch(ids: np.ndarray, first: np.ndarray, m: int = REGISTERS) -> np.nda
     text = A.owner(first)
     x = np.zeros(len(ids))
     start = A.mix(ids ^ U(0x5851F42D4C957F2D))
-    stride = (start >> U(20)) | U(1)
+    # An element visits the registers in its own order: stepping by a stride that shares no factor with their number.
+    strides = np.array([k for k in range(1, m) if np.gcd(k, m) == 1] or [1], np.uint64)
+    stride = strides[((start >> U(20)) % U(len(strides))).astype(np.int64)]
+    steps = np.arange(1, m + 1, dtype=np.uint64) * A.ODD[62]
     floor = np.zeros(n, np.uint16)
     for j in range(m):
         if not len(ids):
             break
-        u = ((A.mix(ids + U(j + 1) * A.ODD[62]) >> U(11)).astype(np.float64) + 0.5) * 2.0**-53
+        u = ((A.mix(ids + steps[j]) >> U(11)).astype(np.float64) + 0.5) * 2.0**-53
         x = x - np.log(u) / (RATE * (m - j))
         k = np.clip(np.floor(1 - np.log(x) / np.log(BASE)), 0, TOP + 1).astype(np.uint16)
         go = k > floor[text]
@@ -88,7 +93,7 @@ def likeness(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
     return j[np.arange(len(j)), best]
 
 
-def _digests(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def digests(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     raw = memoryview(np.ascontiguousarray(ids)).cast("B")
     both = b"".join(hashlib.blake2b(raw[8 * i : 8 * j], digest_size=16).digest() for i, j in zip(first[:-1].tolist(), first[1:].tolist()))
     both = np.frombuffer(both, np.int64).reshape(-1, 2)
@@ -100,9 +105,16 @@ def registers_and_keys(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray,
     return registers, band_keys(registers)
 
 
-def sketches(docs: DataFrame, words: int, uri: str, text: str, doc_id: str, sketch=registers_and_keys) -> DataFrame:
-    """Deals docs into chunks below uri and gives a row of SKETCH for each document. sketch(ids, first) gives registers
-    and band keys of sets."""
+def sets_of(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of shingles of texts: ids and where each begins."""
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
+    parts = [A.shingle_sets(d, o, words) for _, _, d, o in A.pieces(data, offsets)]
+    sizes = np.concatenate([np.diff(f) for _, f in parts])
+    return np.concatenate([p[0] for p in parts]), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def sketches(docs: DataFrame, words: int, uri: str, text: str, doc_id: str) -> DataFrame:
+    """Deals docs into chunks below uri and gives a row of SKETCH for each document."""
 
     def scan(batches):
         for name, row, rows in deal(batches, text):
@@ -112,8 +124,8 @@ def sketches(docs: DataFrame, words: int, uri: str, text: str, doc_id: str, sket
             uid = (TaskContext.get().partitionId() << 33) + row + np.arange(len(rows))
             data, offsets = A.flat(rows[text])
             parts = [A.shingle_sets(d, o, words) for _, _, d, o in A.pieces(data, offsets)]
-            registers, keys = map(np.concatenate, zip(*(sketch(*p) for p in parts)))
-            d1, d2 = map(np.concatenate, zip(*(_digests(*p) for p in parts)))
+            registers, keys = map(np.concatenate, zip(*(registers_and_keys(*p) for p in parts)))
+            d1, d2 = map(np.concatenate, zip(*(digests(*p) for p in parts)))
             n = np.concatenate([np.diff(f) for _, f in parts])
             keys = keys.view(np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -125,29 +137,33 @@ def sketches(docs: DataFrame, words: int, uri: str, text: str, doc_id: str, sket
     return materialize(docs.mapInArrow(scan, SKETCH), "minhash-sketch")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id", uri: str | None = None, sketch=None) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id", uri: str | None = None) -> DataFrame:
     """chunk, idx, uid, doc_id, n, component_id (least doc_id of those reachable by links) and first: whether the row is
     the one of its group that stays. Links: 100 * intersection >= percent * union."""
     spark = docs.sparkSession
     ship(spark)
     if uri is None:  # else the chunks hold all columns, for a caller that reads them again
         uri, docs = new_path(spark, "minhash-chunks"), docs.select(doc_id, text)
-    sketched = sketches(docs, words, uri, text, doc_id, sketch or registers_and_keys)
+    sketched = sketches(docs, words, uri, text, doc_id)
     real = sketched.where("n > 0")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("m")
     reps = materialize(real.groupBy("d1", "d2").agg(least).select("d1", "d2", F.col("m.doc_id").alias("lead"), F.col("m.uid").alias("rep")), "minhash-reps")
-    items = sketched.join(reps.select(F.col("rep").alias("uid")), "uid").select("uid", "chunk", "idx", "n", "keys")
+    items = sketched.join(reps.select(F.col("rep").alias("uid")), "uid").select("uid", "chunk", "idx", "keys")
+
+    def load(chunk: str, idx: np.ndarray) -> list[bytes]:
+        """The texts, compressed: they take less room than their sets."""
+        data, offsets = A.flat(Store(uri).table(chunk)[text].take(pa.array(idx)))
+        raw, press = memoryview(np.ascontiguousarray(data)), zstandard.ZstdCompressor(level=3)
+        return [press.compress(raw[i:j]) for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
 
-    def load(chunk: str, idx: np.ndarray):
-        held = Store(uri).table(chunk)[text].take(pa.array(idx))
-        parts = [A.shingle_sets(d, o, words) for _, _, d, o in A.pieces(*A.flat(held))]
-        sizes = np.concatenate([np.diff(f) for _, f in parts])
-        return np.concatenate([p[0] for p in parts]), np.concatenate([[0], np.cumsum(sizes)])
+    def unpack(held: list[bytes]):
+        press = zstandard.ZstdDecompressor()
+        return sets_of([press.decompress(x) for x in held], words)
 
     def linked(both, union):
         return 100 * both >= percent * union
 
-    # The estimate's standard deviation is under 0.045 with 128 registers; 5 of them below the threshold is out.
+    # The estimate's standard deviation is at most (0.8 * 0.2 / REGISTERS)^0.5, some 0.025; 5 of them below the threshold is out.
     lowest = percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / REGISTERS) ** 0.5
 
     @arrow_udf("double")
@@ -162,7 +178,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
         two = sketched.select(F.col("uid").alias("pivot"), F.col("registers").alias("rb"), F.col("n").alias("nb"))
         return pairs.join(one, "uid").join(two, "pivot").where(estimate("ra", "rb", "na", "nb") >= lowest).select("uid", "pivot")
 
-    roots = components(items, load, linked, None if sketch else likely).withColumnRenamed("uid", "rep")
+    def near(columns: dict, open_: np.ndarray) -> np.ndarray:
+        """Members whose best partner, by equal registers, among the open ones is likely to be linked."""
+        registers, n = np.frombuffer(b"".join(columns["registers"]), np.uint16).reshape(-1, REGISTERS), np.array(columns["n"])
+        same = np.array([(registers == r).sum(1) for r in registers])
+        same[~open_] = -1
+        best = same.argmax(1)
+        rough = same[np.arange(len(n)), best]
+        fine = likeness(registers, registers[best], n, n[best])
+        return (rough >= 0) & ((fine >= lowest) | (rough >= lowest * REGISTERS))
+
+    held = sketched.select("uid", "registers", "n")
+    roots = components(items, load, unpack, linked, likely, held, near).withColumnRenamed("uid", "rep")
     named = reps.join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     named = materialize(named, "minhash-named")
     best = F.min(F.struct(F.col("lead").isNull().alias("none"), "lead", "rep")).alias("m")

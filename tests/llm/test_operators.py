@@ -70,6 +70,17 @@ def test_near_dedup_of_a_large_group(spark):
     assert got == sorted(((i, g) for (i, _), g in zip(rows, cases.groups(rows, 4))), key=str)
 
 
+def test_near_dedup_where_low_similarity_abounds(spark):
+    """Texts of one template, each some 0.3 like every other, meet in few bands and are not compared as sets."""
+    rng = np.random.default_rng(7)
+    template = [f"t{k}" for k in range(60)]
+    rows = [(i, " ".join(template + [f"u{i}x{k}" for k in range(64)])) for i in range(400)]
+    rows += [(1000 + i, rows[i][1] + " end") for i in range(0, 400, 40)]
+    docs = spark.createDataFrame([rows[k] for k in rng.permutation(len(rows))], "doc_id long, text string").repartition(4)
+    got = by(minhash_dedup.near_duplicates(docs, words=4), "doc_id", "component_id")
+    assert got == sorted(((i, i - 1000 if i >= 1000 else i) for i, _ in rows), key=str)
+
+
 def test_near_dedup_of_nothing(empty):
     assert minhash_dedup.near_duplicates(empty).count() == 0
     assert minhash_dedup.keep_one(empty).columns == empty.columns
@@ -560,9 +571,49 @@ def test_fingerprints(spark, docs, rows, empty):
     assert fingerprints.with_edited(cases.frame(spark, [(1, "abc")])).first().near_next == 1
 
 
-def test_fingerprint_groups_are_verified(docs, rows):
-    got = Counter(r.component_id for r in fingerprints.near_groups(docs).collect())
-    assert sorted(got.values())[-1] == max(Counter(cases.groups(rows, 5)).values())
+def test_fingerprint_groups(docs, rows):
+    """No group holds texts that no chain of links joins; nearly all links are found."""
+    got = Counter((r.doc_id, r.edited_sha256, r.group_id) for r in fingerprints.with_edited(docs).collect())
+    assert sum(got.values()) == len(rows)
+    group = cases.groups(rows, 5)
+    least = defaultdict(list)
+    for (i, _), g in zip(rows, group):
+        least[g].append(i)
+    lead = Counter((i, min((x for x in least[g] if x is not None), default=None)) for (i, _), g in zip(rows, group))
+    assert Counter((i, g) for i, _, g in got.elements()) == lead
+
+
+def test_fingerprint_recall(spark):
+    """Against all pairs of a corpus with copies around the threshold."""
+    rng, rows = np.random.default_rng(12), []
+    for base in range(40):
+        words = [f"w{base}x{k}" for k in range(150)]
+        for _ in range(12):
+            w = list(words)
+            for j in rng.integers(0, 150, rng.integers(0, 5)):
+                w[j] = f"e{rng.integers(0, 10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    got = {r.doc_id: r.group_id for r in fingerprints.with_edited(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    sets = [cases.shingles(t, 5) for _, t in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    true = dict(enumerate(cases.groups(rows, 5)))
+    assert len(links) > 500 and np.mean([got[i] == got[j] for i, j in links]) >= 0.95
+    assert all(true[i] == true[g] for i, g in got.items())
+
+
+def test_neighbours_of_one_id(spark):
+    """Rows of one id, or of none, are split among ranges and tasks."""
+    rows = [(None if i % 2 else 5, f"text {i} " * 20) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ship(spark)
+    slim = docs.withColumn("h", F.xxhash64(F.lit(5), "text"))
+    uri = new_path(spark, "fingerprint-test")
+    dealt = fingerprints._neighbours(fingerprints.sketches(slim, uri, 5)).collect()
+    assert len({(r.next_chunk, r.next_idx) for r in dealt}) == 600  # a circle: each is the neighbour of one
+    after, at, seen = {(r.chunk, r.idx): (r.next_chunk, r.next_idx) for r in dealt}, (dealt[0].chunk, dealt[0].idx), 0
+    while seen == 0 or at != (dealt[0].chunk, dealt[0].idx):
+        at, seen = after[at], seen + 1
+    assert seen == 600
 
 
 # ---- substrings ----
