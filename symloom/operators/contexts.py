@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 #: Weight and smoothing of each context order.
 ORDERS = {1: (0.15, 0.1), 2: (0.10, 0.05), 3: (0.08, 0.03), 4: (0.06, 0.02), 5: (0.05, 0.015), 6: (0.04, 0.01), 7: (0.03, 0.008), 15: (0.50, 0.001), 31: (1.00, 0.001)}
 PRIOR = 0.1
+#: The last symbols that count as recent, and what the newest of them adds.
+RING, RECENCY = 64, 0.05
 
 
 def with_context(packed: DataFrame, k: int) -> DataFrame:
@@ -66,7 +68,9 @@ def bias(c: Column, k: int) -> Column:
 
 def order_summary(packed: DataFrame, k: int) -> DataFrame:
     """One row for order k: positions, hits (context known), symbol hits, mean fan-out of known contexts, summed bias."""
-    rows = causal(with_context(packed, k))
+    # What moves is a 128-bit hash of the context, not its words.
+    short = F.struct(F.xxhash64("ctx").alias("h1"), F.xxhash64(F.lit(1), "ctx").alias("h2"))
+    rows = causal(with_context(packed, k).withColumn("ctx", short))
     known = F.when(F.col("total") > 0, 1)
     return rows.agg(
         F.lit(k).alias("k"),
@@ -83,7 +87,7 @@ def prior_counts(tokens: DataFrame) -> DataFrame:
     return tokens.withColumn("n", (F.row_number().over(W.partitionBy("seq", "tok").orderBy("pos")) - 1).cast("long"))
 
 
-def recency(tokens: DataFrame, size: int = 64) -> DataFrame:
+def recency(tokens: DataFrame, size: int = RING) -> DataFrame:
     """seq, pos, tok, seen (how often the symbol is among the last size symbols) and bonus: 0.05 * exp(-3 * age) for each,
     the newest at age 0, an age of 1 being size symbols."""
     back = F.collect_list("tok").over(W.partitionBy("seq").orderBy("pos").rowsBetween(-size, -1))
@@ -94,4 +98,4 @@ def recency(tokens: DataFrame, size: int = 64) -> DataFrame:
         lambda a, x: a + x,
     )
     seen = F.size(F.filter("ring", lambda t: t == F.col("tok")))
-    return rows.select("seq", "pos", "tok", seen.alias("seen"), (0.05 * bonus).alias("bonus"))
+    return rows.select("seq", "pos", "tok", seen.alias("seen"), (RECENCY * bonus).alias("bonus"))

@@ -505,7 +505,19 @@ def _packed_events(spark, d) -> DataFrame:
 
 @query(E.replace("SELECT user_id AS seq,", "SELECT event_id, user_id AS seq,") + """, n AS (SELECT *, row_number() OVER (PARTITION BY seq, tok ORDER BY pos) - 1 AS n FROM t),
 z AS (SELECT *, 5 + coalesce(sum(pow(n + 2, 0.1) - pow(n + 1, 0.1)) OVER (PARTITION BY seq ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS z FROM n)
-SELECT seq, event_id, round(log2(z) - 0.1 * log2(n + 1), 6) AS bits FROM z""")
+SELECT seq, event_id, round(log2(z) - 0.1 * log2(n + 1), 6) AS bits, false AS late FROM z""")
 def stream_scored_events(spark, d) -> DataFrame:
     base = new_path(spark, "stream")
     return scoring.run_available(spark, f"{d}/events.parquet", f"{base}/out", f"{base}/state")
+
+
+STREAMED = NGRAM.replace(T, E, 1).replace("count(*) FILTER (n = 1) OVER (PARTITION BY seq)", "5")
+
+
+@query(STREAMED + """ SELECT y.seq, event_id, round(log2(z + coalesce(more, 0)) - 0.1 * log2(before + 1) - coalesce(q.d, 0) / ln(2), 6) AS bits, false AS late
+FROM y LEFT JOIN r ON r.seq = y.seq AND r.pos = y.pos LEFT JOIN q ON q.seq = y.seq AND q.pos = y.pos AND q.id = y.id
+  JOIN (SELECT user_id AS seq, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM events) USING (seq, pos)""")
+def stream_scored_contexts(spark, d) -> DataFrame:
+    """The stream with all context orders, the last-match table and recency in its state."""
+    base = new_path(spark, "stream")
+    return scoring.run_available(spark, f"{d}/events.parquet", f"{base}/out", f"{base}/state", contexts=True)

@@ -13,6 +13,8 @@ from symloom.operators import coding, contexts, dictionary, folds, merging, mixi
 from symloom.plans.queries import QUERIES
 from symloom.plans.storage import cut
 from symloom.sources import model_file
+from symloom.sources import sequences as S
+from symloom.streaming import scoring
 
 SF = "/root/testdata/sf0.001"
 SEQUENCES = {1: "", 2: "a", 3: "aaaa", 4: "abab", 5: "aaaaa", 6: "banana", 7: "mississippi", 8: "abcabcabcx", 9: "aab" * 11, 10: "ab" * 33}
@@ -222,7 +224,6 @@ def test_model_learns_a_pattern():
 
 def test_empty_and_single(spark):
     docs = spark.createDataFrame([(1, ""), (2, None), (3, "one"), (4, "a b")], "doc_id long, text string")
-    from symloom.sources import sequences as S
 
     packed = S.packed_words(docs)
     assert contexts.with_context(packed, 1).count() == 1
@@ -261,3 +262,86 @@ def test_merging_order(data):
     ids = merging.encode_bytes(data, ranks)
     assert ids == plain_merges(data, ranks)
     assert b"".join(map(merging.expansions(ranks).__getitem__, ids)) == data
+
+
+def test_stream_over_several_batches(spark, tmp_path):
+    """Three micro-batches: the state goes on, and an event that comes too late is scored after what came before it."""
+    import datetime as dt
+    import os
+
+    day = lambda h: dt.datetime(2024, 1, 1, h)
+    batches = [
+        [(1, day(1), 7, "view"), (2, day(2), 7, "click"), (3, day(3), 8, "view")],
+        [(4, day(5), 7, "view"), (6, day(4), 7, "error"), (5, day(6), None, "view")],
+        [(7, day(3), 7, "click"), (8, day(7), 7, "view"), (9, day(2), 8, "view")],
+    ]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string").coalesce(1).write.parquet(str(tmp_path / f"w{i}"))
+        (tmp_path / "in").mkdir(exist_ok=True)
+        part = next(x for x in (tmp_path / f"w{i}").iterdir() if x.name.startswith("part"))
+        part.rename(tmp_path / "in" / f"{i}.parquet")
+        os.utime(tmp_path / "in" / f"{i}.parquet", (1000 + i, 1000 + i))
+    order = {7: [1, 2, 6, 4, 7, 8], 8: [3, 9], None: [5]}
+    kind = {r[0]: r[3] for rows in batches for r in rows}
+    for contexts_too in (False, True):
+        base = f"file://{tmp_path}/s{contexts_too}"
+        got = scoring.run_available(spark, f"file://{tmp_path}/in/*.parquet", f"{base}/out", f"{base}/state", contexts_too, files=1).collect()
+        coder = {s: (mixing.Coder if contexts_too else scoring.CountCoder)(sorted(scoring.ALPHABET)) for s in order}
+        want = {i: (s, round(coder[s].bits(kind[i]), 6), i in (7, 9)) for s, ids in order.items() for i in ids}
+        assert {r.event_id: (r.seq, r.bits, r.late) for r in got} == want
+
+
+def test_periodic_decay_by_hand(spark):
+    rows = [(1, p, t, "c") for p, t in enumerate("aaaaaabaaaab")]
+    got = contexts.periodically_decayed(spark.createDataFrame(rows, "seq long, pos int, tok string, ctx string"), 5).collect()
+    plain: dict = {}
+    for _, p, t, _ in rows:
+        if p and p % 5 == 0:
+            plain = {k: v >> 1 for k, v in plain.items()}
+        plain[t] = plain.get(t, 0) + 1
+    assert {r.tok: r.n for r in got} == {k: v for k, v in plain.items() if v}
+
+
+def test_tokens_are_the_text(spark):
+    texts = ["", None, "a", " ", "Héllo, wörld!\n\n", "漢字 x 漢字", "..a..b..", "no_under-score  ", "\x01\t\x0b", "e\u0301 ß × ÷ 9"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in S.packed_words(docs).collect():
+        assert "".join(r.toks) == (texts[r.seq] or "") and all(r.toks)
+
+
+def test_model_code_length_is_the_plain_one():
+    """The chunked online model against one that goes symbol by symbol through the same pieces."""
+    toks = list("abacabadabacaba" * 5)
+    for with_contexts in (False, True):
+        got = neural.model_bits(toks, with_contexts)
+        names = sorted(set(toks))
+        ids, p = [names.index(t) for t in toks], neural.initial(len(names))
+        m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
+        state = [(np.zeros((neural.TAPS - 1, neural.INNER), np.float32), np.zeros((neural.INNER, neural.STATE), np.float32)) for _ in range(neural.LAYERS)]
+        saved, chunk, logits, step, counts, plain = state, [], None, 0, np.zeros(len(names)), []
+        for i, s in enumerate(ids):
+            base, scale = np.zeros(len(names)), 1.0
+            if logits is not None:
+                base = logits.astype(float)
+                q = np.exp(base - base.max()) / np.exp(base - base.max()).sum()
+                scale = float(np.clip(0.4 + 0.6 * -(q * np.log(q)).sum() / 5.5, 0.2, 2.5))
+            base = base + 0.1 * np.log(counts + 1)
+            if with_contexts:
+                for j, d in list(mixing.context_deltas(toks[: i + 1]))[-1].items() if i else []:
+                    base[names.index(j)] += scale * d
+            plain.append(float(-np.log2(np.exp(base[s] - base.max()) / np.exp(base - base.max()).sum())))
+            counts[s] += 1
+            out, state, _ = neural.forward(p, state, np.array([s]))
+            logits, chunk = out[0], chunk + [s]
+            if len(chunk) == neural.CHUNK or i == len(ids) - 1:
+                part = np.array(chunk)
+                for _ in range(neural.passes(i // neural.CHUNK) if len(part) > 1 else 0):
+                    guess, _, keep = neural.forward(p, saved, part[:-1])
+                    e = np.exp(guess - guess.max(1, keepdims=True))
+                    target = np.full(guess.shape, neural.SMOOTH / len(names), np.float32)
+                    target[np.arange(len(part) - 1), part[1:]] += 1 - neural.SMOOTH
+                    step += 1
+                    neural._step(p, neural.gradient(p, keep, part[:-1], (e / e.sum(1, keepdims=True) - target).astype(np.float32)), m, v, len(part) - 1, step)
+                out, state, _ = neural.forward(p, saved, part)
+                saved, chunk, logits = state, [], out[-1]
+        assert np.allclose(got, plain, atol=2e-3)
