@@ -145,6 +145,29 @@ def merges_roundtrip(spark, d) -> DataFrame:
     return dictionary.expand_merges(dictionary.learn_merges(S.events(spark, d), 3, 2, cut))
 
 
+def _merge_rounds(rounds: int, least: int) -> str:
+    """SQL of rounds of merging: t0 to t<rounds>."""
+    out = [E.replace("WITH t AS", "WITH t0 AS", 1)]
+    for i in range(rounds):
+        over = "WINDOW w AS (PARTITION BY seq ORDER BY pos)"
+        out.append(f"""p{i} AS (SELECT seq, pos, tok AS l, lead(tok) OVER w AS r FROM t{i} {over}),
+c{i} AS (SELECT seq, l, r, count(*) AS n, max(pos) AS last_pos FROM p{i} WHERE r IS NOT NULL GROUP BY ALL),
+q{i} AS (SELECT seq, l, r FROM (FROM c{i} QUALIFY row_number() OVER (PARTITION BY seq ORDER BY n DESC, last_pos) = 1) WHERE n >= {least}),
+h{i} AS (SELECT a.seq, a.pos, a.tok, q.l, q.r, coalesce(a.tok = q.l AND lead(a.tok) OVER (PARTITION BY a.seq ORDER BY a.pos) = q.r, false) AS hit FROM t{i} a LEFT JOIN q{i} q USING (seq)),
+u{i} AS (SELECT *, CASE WHEN hit AND coalesce(lag(hit) OVER w, false) AND l = r THEN 0 ELSE 1 END AS new FROM h{i} {over}),
+v{i} AS (SELECT *, sum(new) OVER w AS run FROM u{i} {over}),
+s{i} AS (SELECT *, hit AND (row_number() OVER (PARTITION BY seq, run ORDER BY pos) - 1) % 2 = 0 AS start FROM v{i}),
+k{i} AS (SELECT *, coalesce(lag(start) OVER w, false) AS gone FROM s{i} {over}),
+t{i + 1} AS (SELECT seq, row_number() OVER w - 1 AS pos, CASE WHEN start THEN l || '+' || r ELSE tok END AS tok FROM k{i} WHERE NOT gone {over})""")
+    return ", ".join(out)
+
+
+@query(_merge_rounds(3, 2) + " SELECT seq, pos, tok FROM t3")
+def learned_merges(spark, d) -> DataFrame:
+    """The sequences after three rounds of merging, merges of merged symbols among them."""
+    return dictionary.learn_merges(S.events(spark, d), 3, 2, cut).withColumn("tok", F.translate("tok", "\x01", "+"))
+
+
 MERGES = f"""WITH t AS (SELECT seq, pos, ('0x' || tok)::BIGINT AS b FROM ({S.BYTES_SQL})),
 p AS (SELECT b AS l, lead(b) OVER (PARTITION BY seq ORDER BY pos) AS r FROM t), c AS (SELECT l, r, count(*) AS n FROM p WHERE r IS NOT NULL GROUP BY ALL),
 m AS (SELECT l, r, row_number() OVER (ORDER BY n DESC, l, r) - 1 AS rank FROM c ORDER BY n DESC, l, r LIMIT 64)"""
@@ -516,7 +539,7 @@ STREAMED = NGRAM.replace(T, E, 1).replace("count(*) FILTER (n = 1) OVER (PARTITI
 
 @query(STREAMED + """ SELECT y.seq, event_id, round(log2(z + coalesce(more, 0)) - 0.1 * log2(before + 1) - coalesce(q.d, 0) / ln(2), 6) AS bits, false AS late
 FROM y LEFT JOIN r ON r.seq = y.seq AND r.pos = y.pos LEFT JOIN q ON q.seq = y.seq AND q.pos = y.pos AND q.id = y.id
-  JOIN (SELECT user_id AS seq, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM events) USING (seq, pos)""")
+  JOIN (SELECT user_id AS seq, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM events) x ON x.seq = y.seq AND x.pos = y.pos""")
 def stream_scored_contexts(spark, d) -> DataFrame:
     """The stream with all context orders, the last-match table and recency in its state."""
     base = new_path(spark, "stream")
