@@ -345,3 +345,14 @@ def test_model_code_length_is_the_plain_one():
                 out, state, _ = neural.forward(p, saved, part)
                 saved, chunk, logits = state, [], out[-1]
         assert np.allclose(got, plain, atol=2e-3)
+
+
+def test_listed_code_length_is_the_stepwise_one(monkeypatch):
+    rng = np.random.default_rng(3)
+    seqs = [list("aaaaaaaaaa" * 9), list("abcabcabcx" * 12), ["x"], [], [str(v) for v in rng.integers(0, 9, 700)], [str(v) for v in rng.integers(0, 400, 300)], list("abracadabra" * 20)]
+    plain = [mixing.context_bits(t) for t in seqs]
+    got = mixing.batch_bits(seqs)
+    assert all(np.allclose(a, b, atol=1e-9) for a, b in zip(got, plain))
+    monkeypatch.setattr(mixing, "MOST_PAIRS", 50)
+    assert mixing.batch_bits(seqs) is None
+    assert np.allclose(mixing._totals(seqs), [sum(b) for b in plain])
