@@ -32,10 +32,14 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
-def quality_weight(text: Column) -> Column:
-    """1 for a text without noise characters, down to 0.1."""
+def quality_weight(text: Column, size: Column) -> Column:
+    """1 for a text of 50 words or more without noise characters and repeated lines, down to 0.1: the shares of other
+    characters and of distinct lines, and how far the text is short of 50 words, multiplied."""
     noise = F.length(text) - F.length(F.translate(text, NOISE, ""))
-    return 1.0 - F.least(F.lit(0.9), 4.0 * noise / F.greatest(F.length(text), F.lit(1)))
+    clean = 1.0 - F.least(F.lit(0.9), 4.0 * noise / F.greatest(F.length(text), F.lit(1)))
+    lines = F.split(text, "\n", -1)
+    distinct = F.size(F.array_distinct(lines)) / F.size(lines)
+    return F.greatest(F.lit(0.1), clean * distinct * F.least(F.lit(1.0), (size + 10) / 60.0))
 
 
 def uniform(key: Column) -> Column:
@@ -66,7 +70,7 @@ def draws(docs: DataFrame, seed: int = 7, keep: tuple[str, ...] = ()) -> DataFra
     the exponential key -ln(u)/weight."""
     t = text_of()
     u = uniform(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    slim = docs.select("doc_id", "source", n_words(t).alias("size"), quality_weight(t).alias("weight"), u.alias("u"), *keep)
+    slim = docs.select("doc_id", "source", n_words(t).alias("size"), quality_weight(t, n_words(t)).alias("weight"), u.alias("u"), *keep)
     return slim.select("doc_id", "source", "size", F.round(F.pow("u", 1 / F.col("weight")), 12).alias("draw"), *keep)
 
 
@@ -128,11 +132,12 @@ def mix(docs: DataFrame) -> DataFrame:
 
 ORACLE = """
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
+  SELECT doc_id, source, size,
     (('0x' || substr(md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u,
-    1.0 - least(0.9, 4.0 * (length(coalesce(text, '')) - length(translate(coalesce(text, ''), '#*$%&|<>', '')))
-      / greatest(length(coalesce(text, '')), 1)) AS weight
-  FROM documents),
+    greatest(0.1, (1.0 - least(0.9, 4.0 * (length(coalesce(text, '')) - length(translate(coalesce(text, ''), '#*$%&|<>', '')))
+      / greatest(length(coalesce(text, '')), 1)))::DOUBLE * (list_unique(string_split(coalesce(text, ''), chr(10)))::DOUBLE / len(string_split(coalesce(text, ''), chr(10))))
+      * least(1.0::DOUBLE, (size + 10) / 60.0::DOUBLE)) AS weight
+  FROM (SELECT *, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents)),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w, 2.0 * source_size AS cap FROM s),
 r AS (SELECT *, cap / w AS reach FROM w),

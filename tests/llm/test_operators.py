@@ -717,6 +717,30 @@ def test_pipeline(spark):
     assert by(run, "doc_id", "n_tokens") == by(out, "doc_id", "n_tokens")
 
 
+@pytest.mark.parametrize("odd", [True, False])
+def test_pipeline_of_odd_tables(spark, docs, empty, rows, odd):
+    """Null ids and texts, repeated rows, clashing columns; and no rows at all."""
+    import corpus_pipeline as P
+
+    held, sf = docs if odd else empty, "/root/testdata/sf0.001"
+    names = held.columns
+    for name, stage in P.STAGES:
+        held = stage(spark, held, sf)
+        if name != P.STAGES[-1][0]:
+            assert held.columns == names
+            held = held.cache()
+    out = held.collect()
+    assert held.columns == ["doc_id", "source", "n_tokens", "ids", "decoded"] and (len(out) > 10 if odd else not out)
+    assert all(len(r.ids) == 4 * r.n_tokens for r in out)
+
+
+def test_bpe_of_nothing(spark, empty):
+    assert empty.select(bpe.bpe_digest(F.col("text"), bpe.vocabulary())).count() == 0
+    none = spark.createDataFrame([(1, None), (2, ""), (3, " \n\t")], "doc_id long, text string").select("doc_id", bpe.bpe_digest(F.col("text"), bpe.vocabulary()).alias("t"))
+    nothing = hashlib.sha256(b"").hexdigest()
+    assert all(r.t.n_tokens == 0 and r.t.ids_sha256 == r.t.decoded_sha256 == nothing for r in none.collect())
+
+
 def test_bpe_merges_together_as_one_by_one():
     own = bpe.WordBpe(bpe.vocabulary())
     rnd = random.Random(3)
