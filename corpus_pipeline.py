@@ -1,4 +1,10 @@
-"""The corpus pipeline: documents through five training-data operators, each stage written and read again."""
+"""The corpus pipeline: documents through five training-data operators, each stage written and read again.
+
+Cases, stage by stage: null and empty texts get the labels' share of good rows as their score, are one empty line, near
+duplicates of nothing, take nothing from the mix and so leave it; of rows that are equal, or near duplicates, one stays; a null
+doc_id is like any other, last in order; ties go to the first row of a stage's input; other columns, whatever their names, pass through all
+stages but the last; without enough labels no document is rejected; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
