@@ -17,8 +17,9 @@ first, in written tables and with shuffles of identifiers only:
    themselves; both are dealt by identifier, so that no group is hot. At 10^14 such windows the odds of any false match are
    about 10^-11.
 
-Chunks hold the texts between the levels. Besides the removed bytes the result tells the words of passages: anchors of
-PASSAGE words (one at least lies in any 50 words) that another document has too.
+Chunks hold the texts between the levels. Besides the removed bytes the result tells the words of shared passages: of words in
+lower case (A-Z), anchors of PASSAGE_GRAM words are chosen as in 2, of which any PASSAGE words hold one at least, and those that
+another document has too are counted. So a document that shares a passage of PASSAGE words has some, however few bytes it has.
 
 Cases: null and empty texts have nothing to remove; texts under LENGTH bytes keep all; repeated rows are copies of one
 another and lose everything if they are long enough; a null doc_id is kept as it is; matches never cross documents; very
@@ -234,7 +235,8 @@ def core_ids(data: np.ndarray, froms: np.ndarray, tos: np.ndarray, at: np.ndarra
 
 
 def passage_anchors(data: np.ndarray, offsets: np.ndarray, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of each text, and text, first word (within the text) and identifier of the passage anchors."""
+    """Words of each text, and text, first word (within the text) and identifier of the passage anchors. A-Z are lower-cased."""
+    data = A.LOWER[data]
     starts, ends, first = A.words(data, offsets)
     _, _, at, ids = anchors(A.span_ids(data, starts, ends), first, skip, PASSAGE, PASSAGE_GRAM)
     text = np.searchsorted(first, at, "right") - 1
