@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from symloom.operators import coding, contexts, dictionary, folds, merging, mixing, neural, transforms
 from symloom.plans.queries import QUERIES
-from symloom.plans.storage import cut
+from symloom.plans.storage import cut, write_bytes
 from symloom.sources import model_file
 from symloom.sources import sequences as S
 from symloom.streaming import scoring
@@ -356,3 +356,13 @@ def test_listed_code_length_is_the_stepwise_one(monkeypatch):
     monkeypatch.setattr(mixing, "MOST_PAIRS", 50)
     assert mixing.batch_bits(seqs) is None
     assert np.allclose(mixing._totals(seqs), [sum(b) for b in plain])
+
+
+def test_tokenizer_file_as_tables(spark, tmp_path):
+    of_byte = [-1 if i == 65 else 255 - i for i in range(256)]
+    write_bytes(spark, f"file://{tmp_path}/t.bin", model_file.pack(of_byte, [bytes([255 - i]) for i in range(256)] + [b"ab"], [(158, 157, 256)]))
+    symbols, merges, bytes_ = model_file.read(spark, f"file://{tmp_path}/t.bin")
+    assert symbols.count() == 257 and [tuple(r) for r in merges.collect()] == [(158, 157, 256, 0)]
+    rows = spark.createDataFrame([(1, p, b) for p, b in enumerate(b"aA\xff\x00")], "seq long, pos int, byte long")
+    got = sorted(model_file.base_symbols(rows, bytes_).collect())
+    assert [r.tok for r in got] == [158, 0, 0, 255]  # a byte without a symbol reads as symbol 0
