@@ -473,14 +473,20 @@ def _archives(spark, d, mode: Column) -> DataFrame:
     return coding.compress_rows(_data(spark, d).withColumn("mode", mode).repartition(4 * parts, "seq"), None)
 
 
-@query(f"""SELECT doc_id AS seq, octet_length(encode(coalesce(text, ''))) AS n_orig, ceil(octet_length(encode(coalesce(text, ''))) / {coding.BLOCK})::BIGINT AS blocks,
-  least(octet_length(encode(coalesce(text, ''))), {coding.BLOCK})::BIGINT AS first_symbols FROM documents""")
+@query(f"""WITH r AS (SELECT doc_id AS seq, octet_length(encode(coalesce(text, ''))) AS n_orig, hex(encode(coalesce(text, ''))) AS raw FROM documents)
+SELECT seq, n_orig, ceil(n_orig / {coding.BLOCK})::BIGINT AS blocks, 0::BIGINT AS mode, least(n_orig, {coding.BLOCK})::BIGINT AS first_symbols,
+  len(list_distinct(regexp_extract_all(substr(raw, 1, 2 * {coding.BLOCK}), '..')))::BIGINT AS first_kinds,
+  CASE WHEN n_orig BETWEEN 1 AND {coding.BLOCK} THEN true END AS adds_up FROM r""")
 def archive_header(spark, d) -> DataFrame:
-    """Sizes that the headers of the archives and of their first blocks state."""
+    """What the headers of the archives and of their first blocks state; adds_up: the parts of an archive of one block have the length
+    that its headers say."""
     held = cut(_archives(spark, d, F.lit("none")), "archives")
     little = lambda a, n: F.conv(F.array_join(F.reverse(F.regexp_extract_all(F.hex(F.substring("archive", a, n)), F.lit("(..)"), 1)), ""), 16, 10).cast("long")
-    first = F.when(F.length("archive") > coding.HEADER.size, little(coding.HEADER.size + 1, 4)).otherwise(0)
-    return held.select("seq", little(5, 8).alias("n_orig"), little(13, 4).alias("blocks"), first.cast("long").alias("first_symbols"))
+    block = coding.HEADER.size + 1
+    first = lambda at, n: F.when(F.length("archive") >= block, little(block + at, n)).otherwise(0)
+    held = held.select("*", little(5, 8).alias("n_orig"), little(13, 4).alias("blocks"), little(17, 1).alias("mode"), first(0, 4).alias("first_symbols"), first(4, 2).alias("first_kinds"))
+    parts = coding.HEADER.size + coding.BLOCK_HEADER.size + little(block + 6, 2) + little(block + 8, 4) + 4 * little(block + 16, 2)
+    return held.select("seq", "n_orig", "blocks", "mode", "first_symbols", "first_kinds", F.when(F.col("blocks") == 1, F.length("archive") == parts).alias("adds_up"))
 
 
 def _mode(seq) -> Column:
