@@ -217,6 +217,15 @@ def window_ids(data: np.ndarray, froms: np.ndarray, tos: np.ndarray, length: int
     return (np.concatenate(at), np.concatenate(high), np.concatenate(low)) if at else (np.zeros(0, np.int64), none, none)
 
 
+def equal_runs(data: np.ndarray, froms: np.ndarray, tos: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each run the first one of the chunk with the same bytes and anchor, and whether it has others like it."""
+    seen: dict = {}
+    lead = np.zeros(len(froms), np.int64)
+    for i, (a, b, p) in enumerate(zip(froms.tolist(), tos.tolist(), at.tolist())):
+        lead[i] = seen.setdefault((p - a, data[a : b + length - 1].tobytes()), i)
+    return lead, np.bincount(lead, minlength=len(lead))[lead] > 1
+
+
 def _step(length: int) -> int:
     return max(1, (length - min(GRAM, length // 3) + 1) // CLASSES)
 
@@ -373,18 +382,12 @@ def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         chunk, name, held, by = load(rows)
         data, _ = A.flat(held["text"])
         (froms, tos, at, ids), _ = runs_of(name, by)
-        seen, out = {}, []
-        for i, (a, b, p, x) in enumerate(zip(froms.tolist(), tos.tolist(), at.tolist(), ids.tolist())):
-            raw = data[a : b + length - 1].tobytes()
-            if (p - a, raw) not in seen:
-                seen[p - a, raw] = len(out)
-                out.append([i, x, (p - a) % 8, b - a, raw, False])
-            else:
-                out[seen[p - a, raw]][5] = True
-        i, x, phase, count, raw, many = list(zip(*out)) or [[]] * 6
-        part = (A.mix(np.array(x, np.uint64)) % U(parts)).astype(np.int32)
-        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
-        return pa.table([pa.array(c, k) for c, k in zip((part, [chunk] * len(i), i, phase, count, raw, many), kinds)], names=["part", "chunk", "run", "phase", "windows", "raw", "many"])
+        lead, many = equal_runs(data, froms, tos, at, length)
+        first = np.flatnonzero(lead == np.arange(len(lead)))
+        raw = [data[a : b + length - 1].tobytes() for a, b in zip(froms[first].tolist(), tos[first].tolist())]
+        part = (A.mix(ids[first]) % U(parts)).astype(np.int32)
+        columns = [part, np.full(len(first), chunk, np.int64), first, (at - froms)[first] % 8, (tos - froms)[first]]
+        return pa.table([*map(pa.array, columns), pa.array(raw, pa.binary()), pa.array(many[first])], names=["part", "chunk", "run", "phase", "windows", "raw", "many"])
 
     def judge(rows: pa.Table) -> pa.Table:
         """The refinement of all runs of a part; a run that its chunk has twice is found again throughout."""
@@ -395,26 +398,34 @@ def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         return pa.table([rows["chunk"], rows["run"], pa.array(packed, pa.binary())], names=["chunk", "run", "bits"])
 
     def hot_cores(rows: pa.Table) -> pa.Table:
+        """Identifiers of the classes' cores of the hot runs, equal ones of the chunk once (but counted as two)."""
         chunk, name, held, by = load(rows)
+        data, _ = A.flat(held["text"])
         _, runs = runs_of(name, by)
-        _, _, high, low = core_ids(A.flat(held["text"])[0], *runs, length)
-        return _counted(CORE, chunk, high, low)
+        lead, many = equal_runs(data, *runs[:3], length)
+        first = np.flatnonzero(lead == np.arange(len(lead)))
+        run, kind, high, low = core_ids(data, *(x[first] for x in runs), length)
+        Store(uri).put_table(f"{name}.cores", pa.table([pa.array(x) for x in (first[run], kind, high, low)], names=["run", "kind", "high", "low"]))
+        Store(uri).put_table(f"{name}.leads", pa.table([pa.array(lead), pa.array(many)], names=["lead", "many"]))
+        twice = 1 + many[first[run]]
+        return _counted(CORE, chunk, np.repeat(high, twice), np.repeat(low, twice))
 
-    def hot_live(name: str, data: np.ndarray, by: dict) -> tuple[np.ndarray, np.ndarray]:
-        """The runs of windows of hot anchors whose class has a repeated core."""
-        _, (froms, tos, at, ids) = runs_of(name, by)
-        run, kind, high, low = core_ids(data, froms, tos, at, ids, length)
+    def hot_windows(rows: pa.Table) -> pa.Table:
+        """The same of the windows of classes whose core is found again."""
+        chunk, name, held, by = load(rows)
+        data, _ = A.flat(held["text"])
+        _, (froms, tos, at, _) = runs_of(name, by)
+        run, kind, high, low = of(Store(uri).table(f"{name}.cores"), "run", "kind", "high", "low")
         live = _among(high, low, by[CORE])
         run, kind, step = run[live], kind[live], _step(length)
         begin, end = np.maximum(froms[run], at[run] - step * (kind + 1) + 1), np.minimum(tos[run], at[run] - step * kind + 1)
         order = np.argsort(begin)
-        return begin[order], end[order]
-
-    def hot_windows(rows: pa.Table) -> pa.Table:
-        chunk, name, held, by = load(rows)
-        data, _ = A.flat(held["text"])
-        _, high, low = window_ids(data, *hot_live(name, data, by), length)
-        return _counted(WINDOW, chunk, high, low)
+        place, high, low = window_ids(data, begin[order], end[order], length)
+        many = Store(uri).table(f"{name}.leads")["many"].to_numpy(zero_copy_only=False)
+        owner = np.searchsorted(froms, place, "right") - 1
+        Store(uri).put_table(f"{name}.windows", pa.table([pa.array(x) for x in (owner, place, high, low)], names=["run", "at", "high", "low"]))
+        twice = 1 + many[owner]
+        return _counted(WINDOW, chunk, np.repeat(high, twice), np.repeat(low, twice))
 
     names = chunks.unionByName(anchored)
     sent = by_chunk(names, n).applyInArrow(contexts, "part int, chunk long, run long, phase long, windows long, raw binary, many boolean")
@@ -433,24 +444,32 @@ def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         chunk, name, held, by = load(rows)
         data, offsets = A.flat(held["text"])
         have, _ = copied(by, len(held))
-        froms, tos, at, _ = runs_of(name, by)[0]
         edges = np.zeros(len(data) + 1, np.int64)
 
         def cover(windows: np.ndarray) -> None:
             np.add.at(edges, windows, 1)
             np.add.at(edges, windows + length, -1)
 
-        raws: dict = {}
-        for i, bits in zip(*(by[RUN][c].to_pylist() for c in ("a", "bits"))):
-            raws[i] = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), count=int(tos[i] - froms[i])))
-        first: dict = {}
-        for i, (a, b, p) in enumerate(zip(froms.tolist(), tos.tolist(), at.tolist())):  # equal runs of the chunk share a verdict
-            lead = first.setdefault((p - a, data[a : b + length - 1].tobytes()), i)
-            if len(raws[lead]):
-                cover(a + raws[lead])
-        if by[WINDOW].num_rows:
-            place, high, low = window_ids(data, *hot_live(name, data, by), length)
-            cover(place[_among(high, low, by[WINDOW])])
+        def spread(froms: np.ndarray, lead: np.ndarray, again: dict[int, np.ndarray]) -> None:
+            """Covers the windows found again of each run: those of the run that stands for it."""
+            for a, i in zip(froms.tolist(), lead.tolist()):
+                if len(again.get(i, ())):
+                    cover(a + again[i])
+
+        (froms, tos, at, _), hot_runs = runs_of(name, by)
+        told_bits = zip(*(by[RUN][c].to_pylist() for c in ("a", "bits")))
+        again = {i: np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), count=int(tos[i] - froms[i]))) for i, bits in told_bits}
+        spread(froms, equal_runs(data, froms, tos, at, length)[0], again)
+        if len(hot_runs[0]):
+            froms, tos, at, _ = hot_runs
+            lead, many = (Store(uri).table(f"{name}.leads")[c].to_numpy(zero_copy_only=False) for c in ("lead", "many"))
+            run, place, high, low = of(Store(uri).table(f"{name}.windows"), "run", "at", "high", "low")
+            live = _among(high, low, by[WINDOW])
+            run, place = run[live], place[live]
+            edge = np.searchsorted(run, np.arange(len(froms) + 1))
+            again = {i: place[edge[i] : edge[i + 1]] - froms[i] for i in np.unique(run).tolist()}
+            again |= {i: np.arange(tos[i] - froms[i]) for i in np.flatnonzero(many).tolist()}
+            spread(froms, lead, again)
         gone = np.cumsum(edges[:-1]) > 0
         for i in np.flatnonzero(have & (np.diff(offsets) >= length)):
             gone[offsets[i] : offsets[i + 1]] = True
