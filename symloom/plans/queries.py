@@ -233,8 +233,9 @@ def _context_queries(k: int) -> None:
 
     @query(_context_sql(k) + " SELECT seq, md5(ctx) AS ctx, tok, least(count(*), 65535) AS n FROM x GROUP BY seq, x.ctx, tok", f"ngram_counts_k{k}")
     def counts(spark, d) -> DataFrame:
-        rows = contexts.with_context(S.packed_words(S.table(spark, d, "documents")), k)
-        return contexts.final_counts(rows).withColumn("ctx", F.md5("ctx"))
+        # Texts move, once; their contexts are then counted where they are, and many parts keep the counts in memory.
+        docs = S.table(spark, d, "documents").select("doc_id", "text").repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+        return contexts.final_counts(contexts.with_context(S.packed_words(docs), k).withColumn("ctx", F.md5("ctx")))
 
     @query(
         _context_sql(k) + CAUSAL + f""" SELECT {k} AS k, count(*) AS positions, count(*) FILTER (total > 0) AS context_hits,
