@@ -5,17 +5,23 @@ inverted without a sentinel. seq is the unit of work; all sequences advance toge
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
+from symloom.operators.coding import rotations, unrotated
 from symloom.session import ship
 
+PACKED = "seq long, toks array<string>, primary long"
+
 
 def seq() -> WindowSpec:
     return W.partitionBy("seq")
@@ -69,3 +75,52 @@ def bwt_inverse(last: DataFrame) -> DataFrame:
         return pd.DataFrame({"seq": rows["seq"].iloc[0], "pos": np.arange(n), "tok": out})
 
     return lf_map(last).groupBy("seq").applyInPandas(chase, "seq long, pos long, tok string")
+
+
+def _symbols(toks: pa.ListArray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The symbols of all rows as places among the distinct ones in order of bytes, where each row begins, the distinct ones."""
+    held = toks.flatten().dictionary_encode()
+    order = pc.sort_indices(held.dictionary).to_numpy()
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    first = toks.offsets.to_numpy().astype(np.int64)
+    return place[held.indices.to_numpy()], first - first[0], held.dictionary.take(pa.array(order))
+
+
+def _packed(seq: pa.Array, codes: np.ndarray, first: np.ndarray, kinds: pa.Array, primary: np.ndarray) -> pa.RecordBatch:
+    toks = pa.ListArray.from_arrays(pa.array(first, pa.int32()), kinds.take(pa.array(codes)))
+    return pa.RecordBatch.from_arrays([seq, toks, pa.array(primary)], names=["seq", "toks", "primary"])
+
+
+def bwt_packed(packed: DataFrame) -> DataFrame:
+    """PACKED: the transform of each row's array of symbols (seq, toks), as bwt() gives it. A row is a sequence of its own, even
+    if others have its seq."""
+    ship(packed.sparkSession)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes, first, kinds = _symbols(batch.column("toks"))
+            primary = np.zeros(len(batch), np.int64)
+            for r, (i, j) in enumerate(pairwise(first.tolist())):
+                if i < j:
+                    order = rotations(codes[i:j])
+                    codes[i:j], primary[r] = codes[i:j][order - 1], order.argmin()
+            yield _packed(batch.column("seq"), codes, first, kinds, primary)
+
+    return packed.select("seq", "toks").mapInArrow(work, PACKED)
+
+
+def bwt_packed_inverse(last: DataFrame) -> DataFrame:
+    """PACKED with the original symbols in toks, from PACKED as bwt_packed() gives it."""
+    ship(last.sparkSession)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes, first, kinds = _symbols(batch.column("toks"))
+            primary = batch.column("primary").to_numpy()
+            for r, (i, j) in enumerate(pairwise(first.tolist())):
+                if i < j:
+                    codes[i:j] = unrotated(codes[i:j], int(primary[r]))
+            yield _packed(batch.column("seq"), codes, first, kinds, primary)
+
+    return last.select("seq", "toks", "primary").mapInArrow(work, PACKED)

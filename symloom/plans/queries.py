@@ -37,6 +37,12 @@ z AS (SELECT *, count(*) FILTER (n = 0) OVER (PARTITION BY seq) + coalesce(sum(p
 b AS (SELECT seq, pos, tok, log2(z) - 0.1 * log2(n + 1) AS bits FROM z)"""
 
 
+def _dealt(spark, d) -> DataFrame:
+    """The texts dealt by doc_id: they move once, what is made of them stays where it is, and many parts let it fit in memory."""
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return S.table(spark, d, "documents").select("doc_id", "text").repartition(parts, "doc_id")
+
+
 # ---- sources and dictionaries -------------------------------------------------------------------------------------
 
 
@@ -233,9 +239,7 @@ def _context_queries(k: int) -> None:
 
     @query(_context_sql(k) + " SELECT seq, md5(ctx) AS ctx, tok, least(count(*), 65535) AS n FROM x GROUP BY seq, x.ctx, tok", f"ngram_counts_k{k}")
     def counts(spark, d) -> DataFrame:
-        # Texts move, once; their contexts are then counted where they are, and many parts keep the counts in memory.
-        docs = S.table(spark, d, "documents").select("doc_id", "text").repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
-        return contexts.final_counts(contexts.with_context(S.packed_words(docs), k).withColumn("ctx", F.md5("ctx")))
+        return contexts.final_counts(contexts.with_context(S.packed_words(_dealt(spark, d)), k).withColumn("ctx", F.md5("ctx")))
 
     @query(
         _context_sql(k) + CAUSAL + f""" SELECT {k} AS k, count(*) AS positions, count(*) FILTER (total > 0) AS context_hits,
@@ -459,7 +463,10 @@ def bwt_lf_map(spark, d) -> DataFrame:
 
 @query(T + " SELECT seq, pos, tok FROM t")
 def bwt_roundtrip(spark, d) -> DataFrame:
-    return transforms.bwt_inverse(cut(transforms.bwt(S.words(spark, d), cut), "bwt"))
+    """Each document's tokens transformed, written, read and put back: a row is a sequence of its own, so only texts move."""
+    held = cut(transforms.bwt_packed(S.packed_words(_dealt(spark, d))), "bwt")
+    rows = transforms.bwt_packed_inverse(held).select("seq", F.posexplode("toks").alias("pos", "tok"))
+    return rows.withColumn("pos", F.col("pos").cast("long"))
 
 
 # ---- archives -----------------------------------------------------------------------------------------------------
