@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -517,9 +515,8 @@ def roundtrip_verify(spark, d) -> DataFrame:
 @query()
 def archive_sizes(spark, d) -> DataFrame:
     """seq, mode, bytes, coded: each document's size and that of its archive in each mode of preprocessing."""
-    sizes = [_archives(spark, d, F.lit(m)).select("seq", F.lit(m).alias("mode"), F.octet_length("archive").cast("long").alias("coded")) for m in coding.MODES]
-    bytes_ = _data(spark, d).select("seq", F.octet_length("data").cast("long").alias("bytes"))
-    return reduce(DataFrame.unionByName, sizes).join(bytes_, "seq").select("seq", "mode", "bytes", "coded")
+    docs = _data(spark, d).repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), "seq")
+    return coding.archive_sizes(docs.withColumn("mode", F.explode(F.array(*[F.lit(m) for m in coding.MODES]))))
 
 
 @query()
