@@ -4,9 +4,9 @@ A permutation is a * x + b modulo 2^32 with odd a over the 32 leading bits of a
 the 16 leading bits of a hash of each of the PERMUTATIONS minima, in hexadecimal; the likeness of two fingerprints is the
 share of equal values, corrected for values that are equal by chance.
 
-Bands of the minima are joined in Spark: in each bucket the two members of least and of greatest number stand for all others, and
-Jaccard similarity of five-word shingles is verified on the full sets against these two. Verified links make groups; a pair of
-similarity 0.8 meets in a band with odds of 0.95, so a link may be missed, but none is wrong.
+Documents that have a band of minima in common are compared in Spark, all members of a bucket that links have not joined yet (see
+linking), and Jaccard similarity of five-word shingles is verified on the full sets. Verified links make groups; a pair of similarity
+0.8 meets in none of 32 bands of 4 with odds of 5e-8, so a link is as good as never missed, and none is wrong.
 
 The neighbour of a document is the next one in descending order of doc_id (nulls last, equal ids by a hash of the text),
 after the last the first. Texts lie in chunks; neighbours are found on rows of a few bytes in sorted ranges, which split rows of one
@@ -33,10 +33,10 @@ from pyspark.sql.pandas.functions import arrow_udf
 from symloom.llm import arrays as A
 from symloom.llm.chunks import Store, by_chunk, deal
 from symloom.llm.common import begin, long_hash, materialize, new_path, ship, table, text_of
-from symloom.llm.linking import connected, star_links
+from symloom.llm.linking import components
 from symloom.llm.minhash_dedup import digests, sets_of
 
-PERMUTATIONS, WORDS, BANDS, PERCENT = 128, 5, 16, 80
+PERMUTATIONS, WORDS, BANDS, PERCENT = 128, 5, 32, 80
 _rng = np.random.default_rng(99)
 _A = _rng.integers(0, 1 << 31, PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _rng.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint32)
@@ -121,10 +121,6 @@ def groups(sketched: DataFrame, uri: str, words: int = WORDS, percent: int = PER
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("m")
     reps = materialize(real.groupBy("d1", "d2").agg(least).select("d1", "d2", "m.none", F.col("m.doc_id").alias("lead"), F.col("m.uid").alias("rep")), "fingerprint-reps")
     items = sketched.join(reps.select(F.col("rep").alias("uid")), "uid").select("uid", "chunk", "idx", "keys")
-    rows = items.select("uid", F.explode("keys").alias("key"))
-    ends = rows.groupBy("key").agg(F.min("uid").alias("lo"), F.max("uid").alias("hi")).where("lo <> hi")
-    ends = materialize(ends, "fingerprint-ends")  # a written table: the rows of a hot bucket can be split among tasks
-    pairs = rows.join(ends, "key").select("uid", F.explode(F.array("lo", "hi")).alias("pivot")).where("uid <> pivot").distinct()
 
     def load(chunk: str, idx: np.ndarray) -> list[bytes]:
         data, offsets = A.flat(Store(uri).table(chunk)["text"].take(pa.array(idx)))
@@ -135,8 +131,9 @@ def groups(sketched: DataFrame, uri: str, words: int = WORDS, percent: int = PER
         press = zstandard.ZstdDecompressor()
         return sets_of([press.decompress(x) for x in held], words)
 
-    links = star_links(materialize(pairs, "fingerprint-pairs"), items.select("uid", "chunk", "idx"), load, unpack, lambda both, union: 100 * both >= percent * union)
-    roots = connected(links).withColumnRenamed("uid", "rep")
+    linked = lambda both, union: 100 * both >= percent * union
+    # Members of a bucket are likely linked as it is: nothing but their sets is asked.
+    roots = components(items, load, unpack, linked, lambda pairs: pairs, items.select("uid"), lambda _, open_: open_.any(1)).withColumnRenamed("uid", "rep")
     named = materialize(reps.join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep")), "fingerprint-named")
     best = named.groupBy("root").agg(F.min(F.struct("none", "lead")).alias("m")).select("root", F.col("m.lead").alias("group_id"))
     found = materialize(named.join(best, "root").select("d1", "d2", "group_id"), "fingerprint-groups")
