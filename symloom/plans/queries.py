@@ -237,7 +237,7 @@ def _context_queries(k: int) -> None:
 
     @query(_context_sql(k) + " SELECT seq, md5(ctx) AS ctx, tok, least(count(*), 65535) AS n FROM x GROUP BY seq, x.ctx, tok", f"ngram_counts_k{k}")
     def counts(spark, d) -> DataFrame:
-        return contexts.final_counts(contexts.with_context(S.packed_words(_dealt(spark, d)), k).withColumn("ctx", F.md5("ctx")))
+        return contexts.counts_within(S.packed_words_of_ids(_dealt(spark, d)), k)
 
     @query(
         _context_sql(k) + CAUSAL + f""" SELECT {k} AS k, count(*) AS positions, count(*) FILTER (total > 0) AS context_hits,
